@@ -5,18 +5,23 @@ of them (successive approximation) to coefficient arrays, which are then dequant
 its sampling factors and converted to RGB. Scans whose Huffman tables hold a single one-bit code have codes of one width, and are read with
 array operations; any other scan is read bit by bit.
 
-The carrier writes such files. A byte b becomes the DC coefficient b, or the AC coefficient of sign b >> 7 and magnitude 128 + (b & 127): no
-AC coefficient is zero, so each has the same code length and nothing depends on runs. Quantisation is 1, so coefficients come back as they
-were written. Chroma has half the resolution, so a unit of 16 x 16 pixels holds six blocks, 384 bytes.
+The carrier writes such files. A byte b becomes an AC coefficient of sign b >> 7 and magnitude 128 + (b & 127): none is zero, so each has the
+same code length and nothing depends on runs. Quantisation is 1, so coefficients come back as they were written. Chroma has half the
+resolution, so a unit of 16 x 16 pixels holds six blocks, 378 bytes.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
 
 UNIT_BLOCKS = 6
+#: Bytes that a block carries.
+BLOCK_BYTES = 63
+#: Within a scan, a byte 255 begins a marker unless a 0 follows.
+MARKER = re.compile(rb"\xff[^\x00]", re.DOTALL)
 
 # Fixed value: the zigzag order of a block's coefficients.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -42,17 +47,15 @@ def _bits(bits: np.ndarray) -> bytes:
 
 
 def encode(payload: np.ndarray) -> bytes:
-    """A file that carries payload (uint8, a multiple of 64 bytes)."""
-    blocks = len(payload) // 64
-    units = max(1, -(-blocks // UNIT_BLOCKS))
+    """A file that carries payload (uint8)."""
+    units = max(1, -(-len(payload) // (BLOCK_BYTES * UNIT_BLOCKS)))
     wide = int(np.ceil(np.sqrt(units)))
     high = -(-units // wide)
-    held = np.zeros((high * wide * UNIT_BLOCKS, 64), np.uint8)
-    held[:blocks] = payload.reshape(-1, 64)
-    units = held.reshape(high, wide, UNIT_BLOCKS, 64)
-    luma = np.ascontiguousarray(units[:, :, :4].reshape(high, wide, 2, 2, 64).transpose(0, 2, 1, 3, 4)).reshape(-1, 64)
-    planes = [luma, units[:, :, 4].reshape(-1, 64), units[:, :, 5].reshape(-1, 64)]
-    every = [(1, 0x00), (2, 0x00), (3, 0x00)]
+    held = np.zeros(high * wide * UNIT_BLOCKS * BLOCK_BYTES, np.uint8)
+    held[: len(payload)] = payload
+    units = held.reshape(high, wide, UNIT_BLOCKS, BLOCK_BYTES)
+    luma = np.ascontiguousarray(units[:, :, :4].reshape(high, wide, 2, 2, BLOCK_BYTES).transpose(0, 2, 1, 3, 4)).reshape(-1, BLOCK_BYTES)
+    planes = [luma, units[:, :, 4].reshape(-1, BLOCK_BYTES), units[:, :, 5].reshape(-1, BLOCK_BYTES)]
     out = [
         b"\xff\xd8",
         _segment(0xFE, b"payload %d" % len(payload)),
@@ -60,19 +63,16 @@ def encode(payload: np.ndarray) -> bytes:
         _segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
         # one code, '0', in each table: DC difference 0; run 0 and size 7; end of block
         *[_segment(0xC4, bytes([kind, 1] + [0] * 15 + [symbol])) for kind, symbol in ((0x00, 0), (0x10, 7), (0x11, 0))],
-        _scan(every, 0, 0, 0, 8, _bits(np.zeros(len(held), np.uint8))),
+        _scan([(1, 0x00), (2, 0x00), (3, 0x00)], 0, 0, 0, 0, _bits(np.zeros(high * wide * UNIT_BLOCKS, np.uint8))),
     ]
-    firsts = []
     for c, plane in enumerate(planes, 1):
-        half = (128 + (plane[:, 1:] & 127)) >> 1
-        first = np.where(plane[:, 1:] & 128, half ^ 127, half).astype(np.uint8)  # a negative number's bits are inverted
-        firsts += [_scan([(c, 0x00)], 1, 5, 0, 1, first[:, :5].tobytes()), _scan([(c, 0x00)], 6, 63, 0, 1, first[:, 5:].tobytes())]
-    out += firsts
-    dc = held[:, 0]
-    out += [_scan(every, 0, 0, al + 1, al, _bits(dc >> al & 1)) for al in range(7, -1, -1)]
+        half = (128 + (plane & 127)) >> 1
+        first = np.where(plane & 128, half ^ 127, half).astype(np.uint8)  # a negative number's bits are inverted
+        for begin, end in ((1, 5), (6, 63)) if c == 1 else ((1, 63),):
+            out.append(_scan([(c, 0x00)], begin, end, 0, 1, first[:, begin - 1 : end].tobytes()))
     for c, plane in enumerate(planes, 1):
-        low = plane & 1
-        low[:, 0] = 0  # the code of the end of block
+        low = np.zeros((len(plane), 64), np.uint8)  # each block begins with the code of its end of block
+        low[:, 1:] = plane & 1
         out.append(_scan([(c, 0x01)], 1, 63, 1, 0, _bits(low)))
     return b"".join([*out, b"\xff\xd9"])
 
@@ -90,9 +90,10 @@ class Component:
         self.wide = -(-(-(-width * self.h // h_max)) // 8)  # blocks that a scan of its own has
         self.high = -(-(-(-height * self.v // v_max)) // 8)
         self.coefficients = np.zeros((self.rows * self.stride, 64), np.int32)
+        self.own = (np.arange(self.high)[:, None] * self.stride + np.arange(self.wide)).ravel()
 
     def own_order(self) -> np.ndarray:
-        return (np.arange(self.high)[:, None] * self.stride + np.arange(self.wide)).ravel()
+        return self.own
 
     def unit_order(self) -> np.ndarray:
         """Blocks in the order of interleaved units: units x blocks of a unit."""
@@ -289,18 +290,13 @@ class Picture:
     @staticmethod
     def _entropy(data: bytes, at: int) -> tuple[list[bytes], int]:
         """The scan's data, cut at restart markers, and where the next marker is."""
-        parts, begin, look = [], at, at
-        while True:
-            look = data.find(b"\xff", look)
-            if look < 0 or look + 1 >= len(data):
-                raise ValueError("the file ends within a scan")
-            if data[look + 1] == 0:
-                look += 2
-            elif 0xD0 <= data[look + 1] <= 0xD7:
-                parts.append(data[begin:look])
-                begin = look = look + 2
-            else:
-                return [*parts, data[begin:look]], look
+        parts, begin = [], at
+        for found in MARKER.finditer(data, at):
+            if not 0xD0 <= data[found.start() + 1] <= 0xD7:
+                return [*parts, data[begin : found.start()]], found.start()
+            parts.append(data[begin : found.start()])
+            begin = found.end()
+        raise ValueError("the file ends within a scan")
 
     def plane(self, c: Component) -> np.ndarray:
         """Samples of a component at full resolution, as floats about 0 to 255."""
@@ -326,7 +322,5 @@ class Picture:
         """The bytes that encode() put in."""
         n = int(self.comment.removeprefix(b"payload "))
         luma, cb, cr = (c.coefficients for c in self.components)
-        units = np.concatenate([luma[self.components[0].unit_order()], cb[:, None], cr[:, None]], 1).reshape(-1, 64)[: n // 64]
-        out = (np.abs(units) & 127 | (units < 0) << 7).astype(np.uint8)
-        out[:, 0] = units[:, 0]
-        return out.tobytes()
+        units = np.concatenate([luma[self.components[0].unit_order()], cb[:, None], cr[:, None]], 1).reshape(-1, 64)[:, 1:]
+        return (np.abs(units) & 127 | (units < 0) << 7).astype(np.uint8).tobytes()[:n]
