@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_licences, op2_toxicity, op3_mixing, op5_packing, op8_sharding, op9_ann, op10_token_files
+from . import op1_licences, op2_toxicity, op3_mixing, op4_jaccard, op5_packing, op6_pitman_yor, op7_media, op8_sharding, op9_ann, op10_token_files
 
 QUERIES = {
     "op1_licences": op1_licences.op1_licences,
     "op2_toxicity": op2_toxicity.op2_toxicity,
     "op3_mixing": op3_mixing.op3_mixing,
+    "op4_jaccard": op4_jaccard.op4_jaccard,
     "op5_packing": op5_packing.op5_packing,
+    "op6_pitman_yor": op6_pitman_yor.op6_pitman_yor,
+    "op7_media": op7_media.op7_media,
     "op8_sharding": op8_sharding.op8_sharding,
     "op9_ann": op9_ann.op9_ann,
     "op10_token_files": op10_token_files.op10_token_files,
