@@ -6,8 +6,8 @@ Index. Two sets of sizes a and b with Jaccard similarity of p % differ in at mos
 cut into k > H parts, k the same for all sizes of a band (a power of two), so linked sets agree in k - H parts at least. A set's parts are ordered
 by (number of shingles in them, hash), large ones first, and only the first H + 1 are put into index lists: linked sets meet in one of
 those. A list is kept by (size, position); its blocks of one size are skipped as wholes where the sizes or the positions rule a link out
-(a pair's first common part stands at position H at most in both), and members without a partner leave the list. Lists of equal
-members are one list. A part holds several shingles, so a passage that many documents share does not make a list by itself.
+(a pair's first common part stands at position H at most in both), and members without a partner leave the list. Lists
+with the same smallest member are joined to one, so a group of near copies makes a few lists and a set is sent to few. A part holds several shingles, so a passage that many documents share does not make a list by itself.
 
 Answers. Each list is verified exactly from its members' whole sets. One member is the base: the others are held as what they lack of it and
 have beyond it, and the intersections of all pairs follow from its own by those differences. A pair that shares several lists counts in the
@@ -201,7 +201,7 @@ def partners(size: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray
 
 
 def index_lists(index: DataFrame, percent: int) -> DataFrame:
-    """list_id, members: lists of two members or more. Equal lists of a bucket are one."""
+    """list_id, key: the members of lists of two members or more. A list's number is its smallest member, and lists of one number are one."""
 
     def gather(data: pa.Table) -> pa.Table:
         sign, key, size, position = _unpacked(data.column("entries").to_pylist())
@@ -213,33 +213,24 @@ def index_lists(index: DataFrame, percent: int) -> DataFrame:
         order = order[np.lexsort((key[order], position[order], size[order], sign[order]))]
         sign, key, size, position = sign[order], key[order], size[order], position[order]
         begin = np.flatnonzero(np.append(True, sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, np.int64)
-        found: dict[int, np.ndarray] = {}
-        pairs = begin[np.diff(np.append(begin, len(sign))) == 2]
+        many = np.diff(np.append(begin, len(sign)))
+        pairs = begin[many == 2]
         h = most_different(size[pairs].astype(np.int64) + size[pairs + 1], percent)
-        near = (size[pairs + 1].astype(np.int64) * percent <= 100 * size[pairs].astype(np.int64)) & (np.maximum(position[pairs], position[pairs + 1]) <= h)
-        pairs = pairs[near]
-        for b, number in zip(pairs.tolist(), _list_numbers(key[pairs], key[pairs + 1]).tolist(), strict=True):
-            found.setdefault(number, key[b : b + 2])
-        long = np.diff(np.append(begin, len(sign))) > 2
-        for b, e in zip(begin[long].tolist(), np.append(begin, len(sign))[1:][long].tolist(), strict=True):
-            members = key[b:e][partners(size[b:e], position[b:e], percent)]
-            if len(members) > 1:
-                found.setdefault(int(_list_number(members)), members)
-        ids, members = list(found), list(found.values())
-        offsets = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
-        flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["list_id", "members"])
-
-    lists = index.groupBy("bucket").applyInArrow(gather, "list_id long, members array<long>")
-    return lists.groupBy("list_id").agg(F.first("members").alias("members"))
-
-
-def _list_number(members: np.ndarray) -> np.int64:
-    return mix64(np.sum(mix64(members.view(np.uint64) + _SALT), dtype=np.uint64)[None] + np.uint64(len(members))).view(np.int64)[0]
-
-
-def _list_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a.view(np.uint64) + _SALT) + mix64(b.view(np.uint64) + _SALT) + np.uint64(2)).view(np.int64)
+        pairs = pairs[(size[pairs + 1].astype(np.int64) * percent <= 100 * size[pairs].astype(np.int64)) & (np.maximum(position[pairs], position[pairs + 1]) <= h)]
+        low, high = np.minimum(key[pairs], key[pairs + 1]), np.maximum(key[pairs], key[pairs + 1])
+        lists, members = [low, low], [low, high]
+        for b, n in zip(begin[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+            found = key[b : b + n][partners(size[b : b + n], position[b : b + n], percent)]
+            if len(found) > 1:
+                lists.append(np.full(len(found), found.min()))
+                members.append(found)
+        lists, members = np.concatenate(lists), np.concatenate(members)
+        order = np.lexsort((members, lists))
+        lists, members = lists[order], members[order]
+        fresh = np.append(True, (lists[1:] != lists[:-1]) | (members[1:] != members[:-1])) if len(lists) else np.zeros(0, bool)
+        return pa.Table.from_arrays([pa.array(lists[fresh]), pa.array(members[fresh])], ["list_id", "key"])
+
+    return index.groupBy("bucket").applyInArrow(gather, "list_id long, key long").distinct()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -363,9 +354,8 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     buckets = max(parallelism(spark), -(-int(n_entries) * (200 - 2 * percent) // (100 + percent) // BUCKET_ENTRIES))
     lists = written(index_lists(bucketed_index(docs.where("doc_id is not null"), n, percent, buckets), percent), "lists")
 
-    blocks = F.ceil(F.size("members") / F.lit(float(BLOCK))).cast("int")
-    by_key = lists.select("list_id", blocks.alias("blocks"), F.explode("members").alias("key"))
-    by_key = by_key.groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
+    blocks = lists.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    by_key = lists.join(blocks, "list_id").groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
     wanted = written(classes.join(by_key, "key"), "wanted")
     needed = written(_with_grams(docs, wanted, n), "members")
     found = written(verified(needed, percent).groupBy("rep", "lowest").agg(F.sum("links").alias("links")), "answers")
