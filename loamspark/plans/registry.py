@@ -1,6 +1,8 @@
-"""All queries by name."""
+"""All queries by name, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import activity, browse, ledger, retrieval, texts
+
+QUERIES = {**activity.QUERIES, **browse.QUERIES, **ledger.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
+SQL = {**activity.SQL, **browse.SQL, **ledger.SQL, **retrieval.SQL, **texts.SQL}
