@@ -4,6 +4,7 @@ A text is brought to a canonical form (case, punctuation, copyright lines and eq
 whole form is looked up among the digests of known licences. Each document is looked up as a whole, and so is each of its lines, since
 notices stand on lines of their own; a document says what it is and which notices it holds.
 
+Only lines that start with the same letters as a known text are brought to the canonical form.
 The known texts are a fixed table of some dozen rows, so its broadcast has a size bound; hot documents and lines never meet in a shuffle.
 
 Defined results: null, empty and white texts have no digest and match nothing; a match on a line counts once per line; repeated rows each
@@ -12,6 +13,10 @@ get their row; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,46 +38,66 @@ KNOWN = {
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
 }
 
-#: Steps of the canonical form after lower-casing: pattern, replacement. Both Java and RE2 read them alike.
+#: Steps of the canonical form after lower-casing: pattern, replacement, and strings of which each match holds one (none: always tried).
+#: Both Java and RE2 read the patterns alike.
 STEPS = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"\n"),
-    (r"https?://", " "),
-    (r"[^\p{L}\p{N}]+", " "),
-    (r"\blicence(s|d)?\b", r"license\1"),
-    (r"\bsub license", "sublicense"),
-    (r"\bcopyright (owner|holder)s?\b", "copyright holder"),
-    (r"\bnon infring", "noninfring"),
-    (r"\backnowledgement", "acknowledgment"),
+    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"\n", ("copyright", "(c)", "©")),
+    (r"https?://", " ", ("://",)),
+    (r"[^\p{L}\p{N}]+", " ", ()),
+    (r"\blicence(s|d)?\b", r"license\1", ("licence",)),
+    (r"\bsub license", "sublicense", ("sub license",)),
+    (r"\bcopyright (owner|holder)s?\b", "copyright holder", ("copyright owner", "copyright holder")),
+    (r"\bnon infring", "noninfring", ("non infring",)),
+    (r"\backnowledgement", "acknowledgment", ("acknowledgement",)),
 ]
 
+#: No step changes the first letters of a form's first word, this many at most, but for a protocol that goes.
+START_LETTERS, PROTOCOL = 3, "htt"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _step(text: Column, pattern: str, to: str, held: tuple[str, ...]) -> Column:
+    to = to.replace("\\1", "$1").replace("\\n", "\n")
+    if not held:
+        return F.regexp_replace(text, pattern, to)
+    return _once(text, lambda x: F.when(reduce(or_, [F.contains(x, F.lit(h)) for h in held]), F.regexp_replace(x, pattern, to)).otherwise(x))
+
 
 def canonical(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to.replace("\\1", "$1").replace("\\n", "\n"))
-    return F.trim(out)
+    return F.trim(reduce(lambda out, step: _step(out, *step), STEPS, F.lower(text)))
 
 
 def digest(text: Column) -> Column:
     """The digest of the canonical form; null where nothing is left."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return _once(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
+
+
+def start(line: Column) -> Column:
+    """The first letters of a line's first word: lines whose canonical forms are equal have the same, but for those that begin with a protocol."""
+    return F.regexp_extract(F.lower(line), rf"^[^\p{{L}}\p{{N}}]*+([\p{{L}}\p{{N}}]{{1,{START_LETTERS}}})", 1)
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
-    """licence, digest: one row per known text."""
-    return spark.createDataFrame([*known.items()], "licence string, text string").select("licence", digest(F.col("text")).alias("digest"))
+    """licence, digest, start: one row per known text."""
+    texts = spark.createDataFrame([*known.items()], "licence string, text string")
+    return texts.select("licence", digest(F.col("text")).alias("digest"), start(canonical(F.col("text"))).alias("start"))
 
 
 def scan(units: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """units with digest and licence (null if unknown): the entire text of each is looked up. known is small and fixed."""
-    return units.withColumn("digest", digest(F.col(text))).join(F.broadcast(known), "digest", "left")
+    return units.withColumn("digest", digest(F.col(text))).join(F.broadcast(known.select("digest", "licence")), "digest", "left")
 
 
 def scan_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, licence of the whole text, notices (licences of single lines, joined by '|' in order of lines), n_notices."""
     rows = docs.select("doc_id", F.col("text"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
     lines = rows.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    starts = known.select("start").union(known.sparkSession.createDataFrame([(PROTOCOL,)], "start string")).distinct()
+    lines = lines.withColumn("start", start(F.col("unit"))).join(F.broadcast(starts), "start", "left_semi")
     hits = scan(lines, known, "unit").where("licence is not null").select("doc_id", "text_key", "line", "licence").distinct()
     by_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.sort_array(F.collect_list(F.struct("line", "licence"))).alias("found"))
     whole = scan(rows, known).select("doc_id", "text_key", "digest", "licence")
@@ -87,7 +112,7 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_form(text: str) -> str:
     out = f"lower({text})"
-    for pattern, to in STEPS:
+    for pattern, to, _ in STEPS:
         to = f"'{to}'" if "\\n" not in to else "chr(10)"
         pattern = pattern.replace("\\n", "\n")
         out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
