@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, browse, ledger, retrieval, texts
+from . import activity, browse, history, ledger, retrieval, texts
 
-QUERIES = {**activity.QUERIES, **browse.QUERIES, **ledger.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
-SQL = {**activity.SQL, **browse.SQL, **ledger.SQL, **retrieval.SQL, **texts.SQL}
+QUERIES = {**activity.QUERIES, **browse.QUERIES, **history.QUERIES, **ledger.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
+SQL = {**activity.SQL, **browse.SQL, **history.SQL, **ledger.SQL, **retrieval.SQL, **texts.SQL}

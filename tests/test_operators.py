@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from loamspark.functions import keys
 from loamspark.functions import text as fn
-from loamspark.operators import activity, browse, changes, graph, ledger, similarity
+from loamspark.operators import activity, browse, changes, graph, history, ledger, similarity
 from loamspark.streaming import debounce
 
 
@@ -79,3 +80,38 @@ def test_page_beyond_the_end(spark):
     assert browse.page(rows, [F.col("id")], 9, 2).count() == 0
     pages, shown = spark.range(1).select(*browse.page_window(F.lit(0), 4, 25)).first()
     assert (pages, shown) == (1, 1)
+
+
+def test_sessions_include_their_bounds(spark):
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    rows = [(1, "u", "v", at(1)), (2, "u", "s", at(2)), (3, "u", "v", at(2)), (4, "u", "e", at(5)), (5, "u", "v", at(5)), (6, "u", "v", at(6)), (7, "w", "s", at(1)), (8, "w", "v", at(9)), (9, None, "v", at(1))]
+    events = spark.createDataFrame(rows, "id int, u string, k string, ts timestamp")
+    starts, ends = F.col("k") == "s", F.col("k") == "e"
+    out = history.in_no_session(events, "u", "ts", starts, ends, F.lit(at(8)), F.col("k") == "v").collect()
+    assert sorted(r["id"] for r in out) == [1, 6, 8, 9]
+    closed = history.sessions(events, "u", "ts", starts, ends)
+    assert [r["id"] for r in history.after_session(events.where("k = 'v'"), closed, "u", "ts", 168).collect()] == [6]
+
+
+def test_histories(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 5, "y"), ("a", 3, 6, "y"), (None, 1, None, None)], "k string, o int, p int, v string")
+    assert sorted((r["o"], r["stale"]) for r in history.stale(rows.where("k = 'a'"), "k", "o", "p").collect()) == [(1, False), (2, True), (3, False)]
+    assert [r["o"] for r in history.settled(rows, "k", "o", "p", F.col("v") == "y").collect()] == [2]
+    assert {r["k"]: r["next_position"] for r in history.next_position(rows, "k", "p").collect()} == {"a": 7, None: 0}
+    assert {r["key"]: (r["members"], r["times"]) for r in history.folded(rows, F.col("k"), "v").collect()} == {"a": (["x", "y"], 3), None: ([], 1)}
+    assert [r["admitted"] for r in history.admitted(rows.where("k = 'a'"), rows.limit(0), "k", "o", 2).orderBy("o").collect()] == [True, True, False]
+    assert history.stale(rows.limit(0), "k", "o", "p").count() == 0
+
+
+def test_keys(spark):
+    import hashlib
+    import uuid
+
+    row = spark.range(1).select(keys.name_uuid(F.lit("ä"), F.lit("1")).alias("u"), keys.name_uuid(F.lit("a"), F.lit(None)).alias("n"), keys.fingerprint(F.array(F.lit("b"), F.lit(None), F.lit("a")), "v").alias("f")).first()
+    assert row["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "ä\0001")) and row["n"] is None
+    assert row["f"] == hashlib.sha256("\1a\1b\1v".encode()).hexdigest()
+
+
+def test_top_words_break_ties_by_place(spark):
+    docs = spark.createDataFrame([(1, "zeta beta beta that zeta cat gamma"), (2, None), (3, "")], "id int, text string")
+    assert [(r["id"], r["keywords"]) for r in fn.top_words(docs, "id", "text", 2).collect()] == [(1, "zeta beta")]
