@@ -17,6 +17,9 @@ from .common import word_hashes
 MAX_WORDS = 1_500_000
 TABLE_BITS = 23
 
+#: Bytes of text that are hashed at once, which takes some forty times as much memory; a longer text is hashed by itself.
+SLICE_BYTES = 1 << 19
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -70,6 +73,14 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and how many each text has."""
+        n = len(starts) - 1
+        cuts = np.unique(np.append(np.searchsorted(starts[:n], np.arange(0, len(data), SLICE_BYTES)), [0, n]))
+        parts = [self._encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = word_hashes(data, starts)
         if not len(hashes):
             return np.zeros(0, np.uint32), counts
