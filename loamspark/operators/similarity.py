@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of points and of a block of queries.
+POINT_BLOCK, QUERY_BLOCK = 1024, 256
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,16 +23,88 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, floor: float, payload: str) -> DataFrame:
-    """query_id, vec_id, score: points of the query's payload value with the best cosine, at or above a floor; ties to the smaller id.
+def cosines(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Queries x points, in double precision; 0 where a vector is zero. Equal vectors have equal cosines, as each pair is summed alike."""
+    size = np.sqrt(np.einsum("qd,qd->q", q, q))[:, None] * np.sqrt(np.einsum("pd,pd->p", p, p))
+    return np.divide(np.einsum("qd,pd->qp", q, p), size, out=np.zeros_like(size), where=size > 0)
+
 
-    Both have vec_id, embedding and the payload column, which is the join's key.
+def met(queries: DataFrame, points: DataFrame, keys: list[str], use: Callable[..., pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What use(query ids, their labels, point ids, their labels, cosines) makes of each block of queries and each block of points.
+
+    A task takes its pairs by query block and passes what it has of one through merge after each pair, so that what it sends on does not grow with the points.
+
+    Both have vec_id, embedding and a numeric label. They are dealt into blocks by a hash of the id, and only rows with equal keys and as many
+    dimensions meet. Vectors that are null or hold null or non-finite numbers take no part; labels that are null come as NaN.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), payload)
-    pairs = q.join(points, payload).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("_q"), F.col("embedding")).alias("score")).where(F.col("score") >= floor)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        rows = rows.where(F.col("vec_id").isNotNull() & finite)
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        parts = max(1, -(-largest // size))
+        row = F.struct("vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+        dealt = rows.groupBy(*keys, F.size("embedding").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(f"{name}_part"))
+        held = dealt.agg(F.collect_list(row).alias("r"))
+        return held.select(*keys, "width", f"{name}_part", F.col("r.vec_id").alias(f"{name}_ids"), F.col("r.label").alias(f"{name}_labels"), F.flatten("r.embedding").alias(f"{name}_rows")), parts
+
+    asked, _ = blocks(queries, QUERY_BLOCK, "q")
+    stored, parts = blocks(points, POINT_BLOCK, "p")
+    asked = asked.withColumn("p_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = asked.join(stored, [*keys, "width", "p_part"]).withColumn("asked", F.xxhash64(*keys, "width", "q_part")).sortWithinPartitions("asked")
+    pairs = pairs.select("asked", "width", *[f"{n}_{c}" for n in "qp" for c in ("ids", "labels", "rows")])
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[int | None, pd.DataFrame | None] = (None, None)
+        for frame in frames:
+            for of, width, q_ids, q_labels, q, p_ids, p_labels, p in frame.itertuples(index=False):
+                sized = [np.asarray(x, np.float64).reshape(len(i), width) for i, x in ((q_ids, q), (p_ids, p))]
+                found = use(np.asarray(q_ids), np.asarray(q_labels, np.float64), np.asarray(p_ids), np.asarray(p_labels, np.float64), cosines(*sized))
+                if held[0] == of:
+                    found = merge(pd.concat([held[1], found]))
+                elif held[1] is not None:
+                    yield held[1]
+                held = (of, found)
+        if held[1] is not None:
+            yield held[1]
+
+    return pairs.mapInPandas(meet, schema)
+
+
+def best(queries: DataFrame, points: DataFrame, k: int, floor: float, keys: list[str], boost: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank: the k best other points of each query at or above a floor; ties to the smaller id.
+
+    boost(query ids, point ids) is added to the cosine. Tasks send on their k best of a query alone.
+    """
+
+    def of_block(q_ids: np.ndarray, _: np.ndarray, p_ids: np.ndarray, __: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        score = score + boost(q_ids[:, None], p_ids[None]) if boost else score
+        fit = (q_ids[:, None] != p_ids[None]) & (score >= floor)
+        found = []
+        for i in range(len(q_ids)):
+            at = np.flatnonzero(fit[i])
+            if len(at) > k:
+                at = at[score[i, at] >= np.partition(score[i, at], -k)[-k]]
+            at = at[np.lexsort((p_ids[at], -score[i, at]))][:k]
+            found.append((np.full(len(at), q_ids[i]), p_ids[at], score[i, at]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        return found[found.groupby("query_id").cumcount() < k]
+
+    found = met(queries, points, keys, of_block, merge, "query_id long, vec_id long, score double")
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", at).where(F.col("rank") <= k)
+    return found.withColumn("rank", at).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, floor: float, payload: str) -> DataFrame:
+    """query_id, vec_id, score, rank: points of the query's payload value with the best cosine, at or above a floor; ties to the smaller id.
+
+    Both have vec_id, embedding and the payload column (numeric), which is the join's key.
+    """
+    queries, points = (rows.select("vec_id", "embedding", F.col(payload).alias("label")) for rows in (queries, points))
+    return best(queries, points, k, floor, ["label"])
 
 
 def jaccard_join(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
@@ -44,12 +123,33 @@ def jaccard_join(rows: DataFrame, key: str, tokens: str, least: float) -> DataFr
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def pair_cells(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """cell, same, n: how many pairs of a query and another point have a cosine (0 at least) in each twentieth, by whether their labels are equal."""
+
+    def of_block(q_ids: np.ndarray, q_labels: np.ndarray, p_ids: np.ndarray, p_labels: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        known = (q_ids[:, None] != p_ids[None]) & ~np.isnan(q_labels[:, None] + p_labels[None])
+        cell = np.floor(np.maximum(score, 0.0) * 20 + 1e-9).astype(np.int64)
+        n = np.bincount((cell * 2 + (q_labels[:, None] == p_labels[None]))[known], minlength=1)
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"cell": at // 2, "same": at % 2 == 1, "n": n[at]})
+
+    def merge(cells: pd.DataFrame) -> pd.DataFrame:
+        return cells.groupby(["cell", "same"], as_index=False)["n"].sum()
+
+    return met(queries, points, [], of_block, merge, "cell int, same boolean, n long").groupBy("cell", "same").agg(F.sum("n").alias("n"))
+
+
 def threshold_costs(pairs: DataFrame, score: str, same: str, merge_cost: float = 5.0) -> DataFrame:
     """threshold, false_merges, false_splits, cost for 19 thresholds from 0.05 to 0.95: one pass over the pairs, by their grid cell."""
-    thresholds = pairs.sparkSession.range(1, 20).select((F.col("id") * 5 / 100).alias("threshold"), F.col("id").cast("int").alias("i"))
     cells = pairs.groupBy(F.floor(F.col(score) * 20 + F.lit(1e-9)).cast("int").alias("cell"), F.col(same).alias("same")).agg(F.count("*").alias("n"))
-    met = thresholds.join(F.broadcast(cells), F.lit(True))  # some dozen rows on either side
+    return cell_costs(cells, merge_cost)
+
+
+def cell_costs(cells: DataFrame, merge_cost: float = 5.0) -> DataFrame:
+    """threshold_costs of pairs counted by cell and same."""
+    thresholds = cells.sparkSession.range(1, 20).select((F.col("id") * 5 / 100).alias("threshold"), F.col("id").cast("int").alias("i"))
+    met_cells = thresholds.join(F.broadcast(cells), F.lit(True))  # some dozen rows on either side
     merges = F.sum(F.when(~F.col("same") & (F.col("cell") >= F.col("i")), F.col("n")).otherwise(0))
     splits = F.sum(F.when(F.col("same") & (F.col("cell") < F.col("i")), F.col("n")).otherwise(0))
-    out = met.groupBy("threshold").agg(merges.alias("false_merges"), splits.alias("false_splits"))
+    out = met_cells.groupBy("threshold").agg(merges.alias("false_merges"), splits.alias("false_splits"))
     return out.withColumn("cost", F.col("false_merges") * merge_cost + F.col("false_splits"))

@@ -1,4 +1,7 @@
-"""Queries over vectors and token sets. In the embeddings a label is a universe and vectors of one label are one entity; the first ten are queries."""
+"""Queries over vectors and token sets. In the embeddings a label is a universe and vectors of one label are one entity.
+
+Queries ending in _20th search with every vec_id divisible by 20; those without ask for the first ten ids, as their SQL has it.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,12 @@ from ..operators import similarity as op
 from ..sources import table
 
 QUERIES, SQL = {}, {}
+FIRST_TEN, EACH_20TH = "vec_id < 10", "vec_id % 20 = 0"
 
 
-def nearest(spark, d):
+def nearest(spark, d, asked=FIRST_TEN):
     vectors = table(spark, d, "embeddings")
-    return op.nearest(vectors.where("vec_id < 10"), vectors, 10, -1.0, "label").select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+    return op.nearest(vectors.where(asked), vectors, 10, -1.0, "label").select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 _DOT = "list_inner_product(q.embedding::double[], p.embedding::double[])"
@@ -24,29 +28,28 @@ select query_id, vec_id, rank, round(score, 5) as score from (select q.vec_id as
   from embeddings q join embeddings p on q.label = p.label and q.vec_id <> p.vec_id where q.vec_id < 10) where rank <= 10"""
 
 
-def boosted(spark, d):
+def boosted(spark, d, asked=FIRST_TEN):
     """Cosine plus 0.03 where a keyword (here the parity of the id) is shared, then the floor, then the top 12."""
     vectors = table(spark, d, "embeddings")
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(queries)).where("vec_id <> query_id")  # ten queries
-    score = op.cosine(F.col("q"), F.col("embedding")) + F.when((F.col("vec_id") - F.col("query_id")) % 2 == 0, 0.03).otherwise(0.0)
-    hits = pairs.select("query_id", "vec_id", score.alias("score")).where("score >= 0.2")
-    at = F.row_number().over(op.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", at).where("rank <= 12")
+    return op.best(vectors.where(asked), vectors, 12, 0.2, [], lambda q, p: 0.03 * ((p - q) % 2 == 0))
+
+
+def boosted_rounded(spark, d, asked=FIRST_TEN):
+    return boosted(spark, d, asked).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
-QUERIES["boosted_retrieval"] = lambda spark, d: boosted(spark, d).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+QUERIES["boosted_retrieval"] = boosted_rounded
 SQL["boosted_retrieval"] = f"""
 with s as (select q.vec_id as query_id, q.label as ql, p.label as pl, p.vec_id, {_COSINE} + case when (p.vec_id - q.vec_id) % 2 = 0 then 0.03::double else 0 end as score from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id < 10)
 select query_id, vec_id, round(score, 5) as score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 12"""
 
 
-def quality(spark, d):
+def quality(spark, d, asked=FIRST_TEN):
     """Recall at 12 and reciprocal rank of each query; vectors of the same label are relevant."""
     vectors = table(spark, d, "embeddings")
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
-    hits = boosted(spark, d).join(vectors.select("vec_id", "label"), "vec_id")
+    hits = boosted(spark, d, asked).join(vectors.select("vec_id", "label"), "vec_id")
     found = queries.join(sizes, F.col("wanted") == F.col("label")).drop("label").join(hits, "query_id", "left")
     good = F.col("label") == F.col("wanted")
     out = found.groupBy("query_id", "relevant").agg(F.count_if(good).alias("hits"), F.coalesce(F.max(F.when(good, 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
@@ -62,12 +65,9 @@ select q.query_id, round(count(*) filter (h.ql = h.pl) / nullif(least(relevant,
 from q left join h on h.query_id = q.query_id group by q.query_id, relevant"""
 
 
-def sweep(spark, d):
+def sweep(spark, d, asked=FIRST_TEN):
     vectors = table(spark, d, "embeddings")
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    pairs = vectors.join(F.broadcast(queries)).where("vec_id <> query_id")  # ten queries
-    scored = pairs.select(F.greatest(F.lit(0.0), op.cosine(F.col("q"), F.col("embedding"))).alias("score"), (F.col("wanted") == F.col("label")).alias("same"))
-    return op.threshold_costs(scored, "score", "same")
+    return op.cell_costs(op.pair_cells(vectors.where(asked), vectors))
 
 
 QUERIES["threshold_sweep"] = sweep
@@ -75,6 +75,9 @@ SQL["threshold_sweep"] = f"""
 with s as (select greatest(0, {_COSINE}) as score, q.label = p.label as same from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id < 10), c as (select floor(score * 20 + 1e-9) as cell, same from s)
 select i * 5 / 100.0::double as threshold, count(*) filter (not same and cell >= i) as false_merges, count(*) filter (same and cell < i) as false_splits, 5.0::double * count(*) filter (not same and cell >= i) + count(*) filter (same and cell < i) as cost
 from range(1, 20) r(i), c group by i"""
+for _name, _query in (("nearest_vectors", nearest), ("boosted_retrieval", boosted_rounded), ("retrieval_quality", quality), ("threshold_sweep", sweep)):
+    QUERIES[f"{_name}_20th"] = lambda spark, d, query=_query: query(spark, d, EACH_20TH)
+    SQL[f"{_name}_20th"] = SQL[_name].replace(FIRST_TEN, EACH_20TH)
 QUERIES["benchmark_jaccard"] = lambda spark, d: op.jaccard_join(table(spark, d, "benchmark").select("item_id", fn.unicode_words(F.col("text")).alias("tokens")), "item_id", "tokens", 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 SQL["benchmark_jaccard"] = """
 with t as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from benchmark),

@@ -24,6 +24,10 @@ QUERIES["match_forms"] = lambda spark, d: table(spark, d, "documents").select("d
 SQL["match_forms"] = f"""
 select doc_id, trim(regexp_replace({_PLAIN % _LINE}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') as form, regexp_replace(regexp_replace(lower(trim({_LINE}, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as key,
   regexp_replace(lower(trim(regexp_replace({_LINE}, '[^ -~]', '', 'g'), ' ')), '\\s+', ' ', 'g') as label from documents"""
+QUERIES["text_forms"] = lambda spark, d: table(spark, d, "documents").select("doc_id", fn.slug(F.col("text")).alias("slug"), fn.match_form(F.col("text")).alias("form"), fn.derived_key(F.col("text")).alias("key"))
+SQL["text_forms"] = f"""
+select doc_id, case when coalesce({_SLUG}, '') = '' then 'entry' else {_SLUG} end as slug, trim(regexp_replace({_PLAIN % _LINE}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') as form,
+  regexp_replace(regexp_replace(lower(trim({_LINE}, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as key from documents""".replace(_LINE, "text")
 QUERIES["token_counts"] = lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(fn.ascii_words(F.col("text"))).alias("ascii_words"), F.size(fn.unicode_words(F.col("text"))).alias("unicode_words"), fn.token_estimate(F.col("text")).alias("tokens"))
 SQL["token_counts"] = """
 select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')))::int as ascii_words, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))::int as unicode_words, ceil(length(text) / 4.0)::int as tokens from documents"""
