@@ -4,7 +4,11 @@ A text is brought to a canonical form (case, punctuation, copyright lines and eq
 whole form is looked up among the digests of known licences. Each document is looked up as a whole, and so is each of its lines, since
 notices stand on lines of their own; a document says what it is and which notices it holds.
 
-Only lines that start with the same letters as a known text are brought to the canonical form.
+A whole text whose digest is not known is looked up once more by its bare form, among the bare digests of whole licences (licence_digests.py):
+titles, 'all rights reserved', comment marks, list numbers, who is named in a BSD clause and the publisher's address are no part of it, and
+of the lines that begin with 'copyright' only statements (a year, (c), a bracket or a name follows) go. Column digest is the canonical one.
+
+Licences within a longer file are found by their one-line notices alone. Only lines that start with the same letters as a known text are brought to the canonical form.
 The known texts are a fixed table of some dozen rows, so its broadcast has a size bound; hot documents and lines never meet in a shuffle.
 
 Defined results: null, empty and white texts have no digest and match nothing; a match on a line counts once per line; repeated rows each
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licence_digests import BARE
 
 # Texts of public licences and their usual notices.
 KNOWN = {
@@ -71,6 +76,36 @@ def canonical(text: Column) -> Column:
     return F.trim(reduce(lambda out, step: _step(out, *step), STEPS, F.lower(text)))
 
 
+#: Lines that state a copyright, behind comment marks, in Java's patterns.
+STATEMENT = (
+    r"(?m)^[^\p{L}\p{N}\n(©]*(?:(?i:portions )?(?i:copyright)[ \t]*(?:[,:]?[ \t]*(?:\([cC]\)|©|&copy;|[0-9]{4}|[<\[{]|(?i:by)\b)"
+    r"|[ \t](?!(?:Holder|Owner|Notice|Law|Licen[cs]e|Act|And|Or|In|Of|To|The|Treaty|Interest))\p{Lu}\p{Ll})|\([cC]\)[ \t]*(?:(?i:copyright)|©|[0-9]{4})|©)[^\n]*"
+)
+COMMENT_WORD = r"(?m)^[ \t]*(?:dnl|rem|REM)[ \t]"
+_CLAUSE, _SHORT = "(?:[023]|zero|two|three) clause", "(?:mit|x11|expat|isc|zlib|0bsd)"
+
+#: Steps of the bare form after the canonical ones, as in STEPS.
+BARE_STEPS = [
+    (r"(?:^| )all rights reserved(?= |$)", "", ("all rights reserved",)),
+    (rf"^ ?(?:the )?(?:unlicense|(?:{_SHORT}|zlib libpng|bsd(?: {_CLAUSE})?|{_CLAUSE} bsd|(?:new|modified|revised|simplified|freebsd) bsd|bsd {_CLAUSE} (?:new or revised|simplified)) license(?: (?:{_SHORT}|(?:bsd )?{_CLAUSE}(?: license)?))?) ", "", ()),
+    (r"(^| )[0-9a-c] (?=redistributions |neither the name )", r"\1", ("redistributions",)),
+    (r"neither the names? of .{1,100}? nor the names of (?:its|any|their) contributors", "neither the name of the copyright holder nor the names of its contributors", ("nor the names of",)),
+    (r"(?:51 franklin st|59 temple pl|675 mass ave).{1,60}? usa(?= |$)", "", ("51 franklin", "59 temple", "675 mass")),
+    (r" +", " ", ()),
+]
+
+#: Each known bare form holds one of these, and no step makes one where there was none.
+BARE_WORDS = ("licens", "licenc", "permission", "redistribut", "public domain")
+
+
+def bare_digest(text: Column) -> Column:
+    """The digest of the bare form; null where nothing is left or no known bare form can be."""
+    stated = F.regexp_replace(F.regexp_replace(text, COMMENT_WORD, ""), STATEMENT, "")
+    form = F.trim(reduce(lambda out, step: _step(out, *step), BARE_STEPS, F.trim(reduce(lambda out, step: _step(out, *step), STEPS[1:], F.lower(stated)))))
+    hashed = _once(form, lambda x: F.when(x != "", F.sha2(x, 256)))
+    return _once(F.lower(text), lambda low: F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in BARE_WORDS]), hashed))
+
+
 def digest(text: Column) -> Column:
     """The digest of the canonical form; null where nothing is left."""
     return _once(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
@@ -87,6 +122,12 @@ def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFra
     return texts.select("licence", digest(F.col("text")).alias("digest"), start(canonical(F.col("text"))).alias("start"))
 
 
+def bare_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
+    """bare, bare_licence: one row per known text and per whole licence of licence_digests.py."""
+    texts = spark.createDataFrame([*known.items()], "bare_licence string, text string").select(bare_digest(F.col("text")).alias("bare"), "bare_licence")
+    return texts.union(spark.createDataFrame([*BARE.items()], "bare string, bare_licence string")).dropDuplicates(["bare"])
+
+
 def scan(units: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """units with digest and licence (null if unknown): the entire text of each is looked up. known is small and fixed."""
     return units.withColumn("digest", digest(F.col(text))).join(F.broadcast(known.select("digest", "licence")), "digest", "left")
@@ -100,7 +141,8 @@ def scan_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines = lines.withColumn("start", start(F.col("unit"))).join(F.broadcast(starts), "start", "left_semi")
     hits = scan(lines, known, "unit").where("licence is not null").select("doc_id", "text_key", "line", "licence").distinct()
     by_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.sort_array(F.collect_list(F.struct("line", "licence"))).alias("found"))
-    whole = scan(rows, known).select("doc_id", "text_key", "digest", "licence")
+    whole = scan(rows, known).withColumn("bare", F.when(F.col("licence").isNull(), bare_digest(F.col("text"))))
+    whole = whole.join(F.broadcast(bare_digests(known.sparkSession)), "bare", "left").select("doc_id", "text_key", "digest", F.coalesce("licence", "bare_licence").alias("licence"))
     out = whole.join(by_doc, whole["doc_id"].eqNullSafe(by_doc["hit_id"]) & (F.col("text_key") == F.col("hit_key")), "left")
     names = F.coalesce(F.col("found.licence"), F.array().cast("array<string>"))
     return out.select("doc_id", "digest", "licence", F.array_join(names, "|").alias("notices"), F.size(names).alias("n_notices"))
