@@ -46,6 +46,14 @@ for _entity, _sign in fn.ENTITIES:
     _HTML = f"replace({_HTML}, '{_entity}', '{_quoted}')"
 _HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), ' ')"
 SQL["plain_pages"] = f"select page_id, length({_HTML})::int as n_chars, md5({_HTML}) as digest from pages"
+QUERIES["page_texts"] = lambda spark, d: table(spark, d, "pages").select("page_id", F.length(fn.html_text(F.col("html"))).alias("n_chars"), F.md5(fn.html_text(F.col("html"))).alias("digest"))
+_BODY = "html"
+for _pattern, _sign in fn.HTML_STEPS:
+    _quoted = "chr(10)" if _sign == "\n" else "'" + _sign.replace("'", "''") + "'"
+    _BODY = f"regexp_replace({_BODY}, '{_pattern.replace("'", "''")}', {_quoted}, 'g')"
+_BLANK = r"[\s\x0B\p{Z}\x{FEFF}]"
+_TITLE = rf"regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+SQL["page_texts"] = f"with t as (select page_id, case when {_TITLE} <> '' then '# ' || {_TITLE} || chr(10) || {_BODY} else {_BODY} end as shown from pages) select page_id, length(shown)::int as n_chars, md5(shown) as digest from t"
 QUERIES["benchmark_mentions"] = lambda spark, d: (
     table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage") & (F.length("passage") > 0)).select("doc_id", "item_id")
 )
