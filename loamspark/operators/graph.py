@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import kept
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """node, to, label: each edge (source, target, label) from both ends."""
@@ -27,10 +31,17 @@ def ring(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def flatten(spark: SparkSession, view: str, root: str = "parent_id is null") -> DataFrame:
-    """id, depth, path of a tree (id, parent_id, position) in pre-order by path; each level is one join."""
-    return spark.sql(f"""
-        with recursive walk(id, depth, path) as (
-          select id, 0, lpad(cast(position as string), 6, '0') from {view} where {root}
-          union all
-          select t.id, w.depth + 1, concat(w.path, '/', lpad(cast(t.position as string), 6, '0')) from walk w join {view} t on t.parent_id = w.id)
-        select id, depth, path from walk""")
+    """id, depth, path of a tree (id, parent_id, position) in pre-order by path; each level is one join, written before the next.
+
+    Trees may have any depth and number of rows. A node that is its own ancestor is left out where it comes again.
+    """
+    nodes = spark.table(view)
+    at = F.lpad(F.col("position").cast("string"), 6, "0")
+    children = nodes.where("parent_id is not null").select("parent_id", F.col("id").alias("child"), at.alias("at"))
+    level = kept(nodes.where(root).select("id", F.lit(0).alias("depth"), at.alias("path"), F.array("id").alias("line")), "tree")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level.drop("line"))
+        step = level.join(children, F.col("parent_id") == F.col("id")).where(~F.coalesce(F.array_contains("line", F.col("child")), F.lit(False)))
+        level = kept(step.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "at").alias("path"), F.concat("line", F.array("child")).alias("line")), "tree")
+    return reduce(DataFrame.unionByName, levels, level.drop("line"))

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the session's shared checkpoint folder and read it again. Where none is configured (as in tests) one is made."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='loamspark-')}"
+        df.sparkSession.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
