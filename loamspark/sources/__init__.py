@@ -13,9 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the session's shared checkpoint folder and read it again. Where none is configured (as in tests) one is made."""
+    """Cut the lineage: write to the session's shared checkpoint folder and read it again. Only a local master (as in tests) may have none: one is made for it."""
     root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='loamspark-')}"
         df.sparkSession.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
