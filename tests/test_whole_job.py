@@ -1,11 +1,7 @@
 """Where operators once did less than the whole job."""
 
-import textwrap
-from pathlib import Path
-
 import numpy as np
 
-from loamspark.llm import op1_licences
 from loamspark.operators import similarity
 from loamspark.plans import registry
 
@@ -38,26 +34,3 @@ def test_blocks_of_vectors_meet_once(spark, monkeypatch):
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in near if r["query_id"] < 60} == {
         (q, p, k + 1) for q in range(60) if label[q] is not None for k, p in enumerate(sorted((p for p in range(60) if p != q and label[p] == label[q]), key=lambda p: (-score[q, p], p))[:2])
     }
-
-
-def test_whole_licences(spark):
-    known, texts = op1_licences.known_digests(spark), op1_licences.KNOWN
-    wrapped = {n: textwrap.fill(t, 60) for n, t in texts.items()}
-    i = texts["BSD-2-Clause"].index("THIS SOFTWARE IS")
-    three = texts["BSD-2-Clause"][:i] + "3. Neither the name of Example, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + texts["BSD-2-Clause"][i:]
-    files = {
-        "MIT": ["MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrapped["MIT"], "The MIT License (MIT)\nCopyright 2020, Jane\nAll rights reserved.\n" + texts["MIT"].replace("The above copyright", "The above\ncopyright")],
-        "ISC": ["# ISC License\n#\n# Copyright Jane Doe\n#\n" + textwrap.indent(wrapped["ISC"], "# "), "/*\n * Copyright (c) 2020 X\n *\n" + textwrap.indent(wrapped["ISC"], " * ") + "\n */"],
-        "BSD-2-Clause": ["BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + wrapped["BSD-2-Clause"].replace("1. R", "* R").replace("2. R", "* R")],
-        "BSD-3-Clause": ["Copyright 2020 The Authors\n\n" + three],
-    }
-    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
-        if (path := Path("/usr/share/common-licenses", file)).exists():
-            files[name] = [path.read_text(), textwrap.indent(path.read_text(), "// ", lambda _: True)]
-    rows = [(name, text) for name, found in files.items() for text in found]
-    other = [None, "", "Copyright law is old.", texts["MIT"] + " More.", "MIT License", texts["MIT"].replace("free of charge", "at a price")]
-    got = op1_licences.scan_documents(spark.createDataFrame([*rows, *((f"none{i}", t) for i, t in enumerate(other))], "doc_id string, text string"), known).collect()
-    assert sorted((r["doc_id"], r["licence"]) for r in got if not r["doc_id"].startswith("none")) == sorted((n, n) for n, _ in rows)
-    assert [r["licence"] for r in got if r["doc_id"].startswith("none")] == [None] * len(other)
-    forms = op1_licences.bare_digests(spark)
-    assert forms.where("bare is null").count() == 0
