@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
@@ -27,9 +29,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared checkpoint folder of the session. Only where none is configured (as in tests) is one made."""
+    """A new folder in the shared checkpoint folder of the session. Only a local master (as in tests) may have none: one is made for it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='loamspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{label}-{uuid.uuid4().hex}"
@@ -43,8 +47,26 @@ def written(df: DataFrame, label: str, options: dict | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Have Python tasks get so few rows at once, from now on. The setting is read when a plan is run, so it stays for frames that the caller runs; a lower one is kept."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the jobs that run within; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def crc32_mod(key: Column, n: int) -> Column:
@@ -58,6 +80,24 @@ def seeded_draw(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def position(rows: DataFrame, group: list[str], slice_: str, order: list[str | Column], out: str) -> DataFrame:
+    """The 0-based place of each row among the rows of its group, in order of (slice, order). No window runs over more than a slice: the slices' counts are summed up before."""
+    counts = rows.groupBy(*group, slice_).agg(F.count("*").alias("n_slice"))
+    before = Window.partitionBy(*group).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("n_before", F.coalesce(F.sum("n_slice").over(before), F.lit(0))).drop("n_slice")
+    local = F.row_number().over(Window.partitionBy(*group, slice_).orderBy(*order)) - 1
+    ranked, keys = rows.withColumn("local_place", local), [*group, slice_]
+    on = ranked[slice_].eqNullSafe(counts[slice_])
+    for k in keys[:-1]:
+        on = on & ranked[k].eqNullSafe(counts[k])
+    return ranked.join(counts, on).select(*[ranked[c] for c in rows.columns], (F.col("local_place") + F.col("n_before")).alias(out))
+
+
+def text_digest(name: str = "text") -> Column:
+    """A digest that tells texts apart; null counts as empty."""
+    return F.md5(doc_text(name).cast("binary"))
+
+
 def doc_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -73,6 +113,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[starts[0] : starts[-1]], starts - starts[0]
 
 
+#: Bytes of text that are hashed at once, which takes some forty times as much memory; a longer text is hashed by itself.
+SLICE_BYTES = 1 << 19
+
+
+def text_slices(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts of a buffer in runs of about SLICE_BYTES, each as a buffer of its own."""
+    n = len(starts) - 1
+    cuts = np.unique(np.append(np.searchsorted(starts[:n], np.arange(0, len(data), SLICE_BYTES)), [0, n])).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges over it, and neither its normalisation nor its lower-casing joins characters over ASCII
 white space, so the ids of a text are those of its words in turn. Each distinct word (A-Z lower-cased, as the tokenizer does too) is
-encoded by the tokenizers library when a worker first meets it.
+encoded by the tokenizers library when a worker first meets it. A text that holds one of the tokenizer's special strings, which are matched
+before all that and in their own case, is encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -11,14 +12,12 @@ import os
 
 import numpy as np
 
-from .common import word_hashes
+from .common import text_slices, word_hashes
 
-#: Words a worker remembers before it starts anew.
+#: Words a worker remembers before it starts anew; one text may have more.
 MAX_WORDS = 1_500_000
-TABLE_BITS = 23
-
-#: Bytes of text that are hashed at once, which takes some forty times as much memory; a longer text is hashed by itself.
-SLICE_BYTES = 1 << 19
+#: The table of words has two to the power of so many places, or more where one text needs them.
+TABLE_BITS = 22
 
 
 def default_vocabulary() -> str:
@@ -33,23 +32,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
-    def clear(self) -> None:
-        self.key = np.zeros(1 << TABLE_BITS, np.uint64)  # an open-addressing table: hash and the word's number
-        self.number = np.full(1 << TABLE_BITS, -1, np.int32)
+    def clear(self, words: int = 0) -> None:
+        """Forget all words; there will be room for so many at least."""
+        self.bits = max(TABLE_BITS, (2 * words).bit_length())
+        self.key = np.zeros(1 << self.bits, np.uint64)  # an open-addressing table: hash and the word's number
+        self.number = np.full(1 << self.bits, -1, np.int32)
         self.at = np.zeros(0, np.int64)  # by number: where the word's ids start, and how many there are
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number, -1 where it is not known."""
-        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         number = self.number[slot]
         again = np.flatnonzero((number >= 0) & (self.key[slot] != hashes))
         while len(again):
-            slot[again] = (slot[again] + 1) & ((1 << TABLE_BITS) - 1)
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
             number[again] = self.number[slot[again]]
             again = again[(number[again] >= 0) & (self.key[slot[again]] != hashes[again])]
         return number
@@ -61,7 +62,7 @@ class WordEncoder:
         number = np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32)
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             free = left[self.number[slot[left]] < 0]
@@ -69,16 +70,39 @@ class WordEncoder:
             put = free[one]
             self.key[slot[put]], self.number[slot[put]] = hashes[put], number[put]
             left = left[self.key[slot[left]] != hashes[left]]
-            slot[left] = (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and how many each text has."""
-        n = len(starts) - 1
-        cuts = np.unique(np.append(np.searchsorted(starts[:n], np.arange(0, len(data), SLICE_BYTES)), [0, n]))
-        parts = [self._encode(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        parts = [self._encode(*texts) for texts in text_slices(data, starts)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+        ids, counts = np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+        whole = self._with_special(data, starts)
+        return self._replaced(ids, counts, whole, data, starts) if len(whole) else (ids, counts)
+
+    def _with_special(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The texts that hold a special string."""
+        raw, found = data.tobytes(), set()
+        for string in self.special:
+            at = raw.find(string)
+            while at >= 0:
+                text = int(np.searchsorted(starts, at, "right")) - 1
+                if at + len(string) <= starts[text + 1]:
+                    found.add(text)
+                    at = raw.find(string, int(starts[text + 1]))
+                else:
+                    at = raw.find(string, at + 1)
+        return np.array(sorted(found), np.int64)
+
+    def _replaced(self, ids: np.ndarray, counts: np.ndarray, whole: np.ndarray, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and counts with those of the given texts as the library has them for the whole text."""
+        ends, counts, parts, at = np.cumsum(counts), counts.copy(), [], 0
+        for text in whole.tolist():
+            own = self.tokenizer.encode(data[starts[text] : starts[text + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+            parts += [ids[at : ends[text] - counts[text]], np.array(own, np.uint32)]
+            at, counts[text] = ends[text], len(own)
+        return np.concatenate([*parts, ids[at:]]), counts
 
     def _encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = word_hashes(data, starts)
@@ -86,11 +110,12 @@ class WordEncoder:
             return np.zeros(0, np.uint32), counts
         number = self._find(hashes)
         if (number < 0).any():
-            if len(self.size) > MAX_WORDS:
-                self.clear()
-                number[:] = -1
             missing = np.flatnonzero(number < 0)
             new, first = np.unique(hashes[missing], return_index=True)
+            if len(self.size) + len(new) > max(MAX_WORDS, (1 << self.bits) // 2):
+                self.clear(len(hashes))
+                missing = np.arange(len(hashes))
+                new, first = np.unique(hashes, return_index=True)
             begin, end = _word_spans(data, starts)
             raw, at = data.tobytes(), missing[first]
             for i in range(0, len(new), 100_000):
