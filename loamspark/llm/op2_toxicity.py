@@ -11,11 +11,11 @@ below zero, its gradient is followed backwards, as the estimator asks. The class
 may be learnt from.
 
 Bounds (parameters): at most ``max_positive`` positives and ``max_unlabelled`` unlabelled texts are learnt from, in order of a seeded hash of
-their ids; at most ``max_features`` features are kept. Scoring covers every whole text.
+their ids; at most ``max_features`` features are kept. Scoring covers every whole text, of any length; words of any length are features.
 
 Defined results: null and empty texts have no feature and get the score of the intercept; with no positives to learn from, every score is 0;
-labels that are null, or of ids that are not in the documents, teach nothing; repeated rows are scored each; an empty table gives no rows;
-extra columns are not read.
+labels that are null, or of ids that are not in the documents, teach nothing; repeated rows are scored each; ties of the draw go to the smaller
+id; an empty table gives no rows; extra columns are not read, and the score's column must have a name of its own.
 """
 
 from __future__ import annotations
@@ -60,8 +60,7 @@ def features_of(text: str) -> set[str]:
             whole = f"#{word}#"
             for n in GRAMS:
                 found.update(whole[i : i + n] for i in range(len(whole) - n + 1))
-            if len(word) <= 24:
-                found.add(whole)
+            found.add(whole)
     return found
 
 
@@ -164,8 +163,10 @@ def train(texts: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unl
         rows.unpersist()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score added: the probability that the text is toxic."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with a column ``out`` (which docs must not have) added: the probability that the text is toxic."""
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out} already")
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -179,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logits = np.array([model.weights[:, f].sum(1) + model.intercepts for f in found]).reshape(len(found), -1)
             yield pd.Series((1 / (1 + np.exp(-np.clip(logits, -50, 50)))).mean(1))
 
-    return docs.withColumn("score", probability(doc_text()))
+    return docs.withColumn(out, probability(doc_text()))
 
 
 def train_on_tables(spark: SparkSession, sf_dir: str) -> Model:
