@@ -6,12 +6,14 @@ A record is: length of the payload (unsigned 64 bits), masked checksum of those
 so that checksums of data that hold checksums stay good.
 
 Files are written by Spark's own text sink, which writes bytes as they are and ends each row with a line feed, the record's last byte; so
-writes are committed by task as usual, and a lost executor's files are written again. Texts are range-partitioned by doc_id: part files in
-the order of their names hold the documents in ascending order. The index (Parquet: file, doc_id, offset, n_bytes, start, n_tokens,
+writes are committed by task as usual, and a lost executor's files are written again. Texts are range-partitioned by doc_id and, within one, a
+digest of the text, into as many parts as keep a file's texts near ``FILE_BYTES``: part files in the order of their names hold the documents
+in ascending order. A part with many rows (of one id and text, say) is cut into files of ``FILE_ROWS`` rows. The index (Parquet: file, doc_id, offset, n_bytes, start, n_tokens,
 ids_crc32) is made by reading the files back and checking every checksum; a shuffled reader takes its offsets from there.
 
 Defined results: a null text is empty and so is the end id alone; a null doc_id is written as the smallest 64-bit number and comes back as
-null; repeated doc_ids are records of their own, ordered by text; an empty table gives no files and no rows; extra columns are not read.
+null; repeated doc_ids are records of their own, ordered by a digest of the text, and equal rows are interchangeable; a text of any length is
+one record; an empty table gives no files and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, parallelism, scratch, small_batches, table, text_buffers, written
+from .common import ARROW_ROWS, BATCH_ROWS, doc_text, parallelism, scratch, settings, table, text_buffers, written
 from .tokens import default_vocabulary, encoder
 
 NULL_ID = -(1 << 63)
+#: Bytes of text that a part should hold, and rows that a file holds at most. A reader holds one file at a time.
+FILE_BYTES, FILE_ROWS = 32 << 20, 50_000
 
 
 def masked(data: bytes) -> int:
@@ -70,7 +74,6 @@ def parse(payload: memoryview) -> tuple[int, np.ndarray]:
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write docs (doc_id, text) to path as record files in ascending doc_id order."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
@@ -83,13 +86,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), doc_text().alias("text"))
-    rows = rows.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    framed = rows.mapInArrow(frames, "frame binary")
-    framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    parts = max(parallelism(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    dealt = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    with settings(spark, {ARROW_ROWS: str(BATCH_ROWS)}):
+        framed = dealt.select("doc_id", "text").mapInArrow(frames, "frame binary")
+        framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, n_bytes, doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) of every record, checksums verified."""
+    """file, offset, n_bytes, doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) of every record, checksums verified.
+
+    A row of the scan is a file, so run it under ``settings`` that pass one row at a time to Python, as ``index`` does.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +113,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _arrow(rows)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     names = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return names.mapInArrow(records, "file string, offset long, n_bytes long, doc_id long, n_tokens long, ids binary")
@@ -119,7 +126,8 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The offset index of the files at path, from reading them back."""
-    one = written(read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "token-index")
+    with settings(spark, {ARROW_ROWS: "1"}):
+        one = written(read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "token-index")
     within = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     files = one.groupBy("file").agg(F.sum("n_tokens").alias("n_file"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
