@@ -14,9 +14,12 @@ have beyond it, and the intersections of all pairs follow from its own by those
 one with the smallest number. Long lists are dealt out as pairs of blocks, so no task holds more than two blocks and no pair is emitted: a
 list gives each member its number of links and the smallest document of its part, and these stars are joined to components.
 
+Components are found among classes, each known by a number of its own, so rows that share an id but no links stay apart; a component's id is the
+smallest doc_id of its rows.
+
 Defined results: null and empty texts have an empty set, no links, and are components of their own; repeated rows are documents of the
-class of their text; a null doc_id has a null component and takes no part in linking; an empty table gives no rows; extra columns are
-not read.
+class of their text; texts of one id with different sets are rows of different classes; a null doc_id has a null component and takes no part
+in linking; ties of ids go to the smaller text digest; a text of any length is one set; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, mix64, parallelism, ragged, small_batches, table, text_buffers, word_hashes, written
+from .common import doc_text, mix64, parallelism, ragged, small_batches, table, text_buffers, text_slices, word_hashes, written
 
 #: Index entries that a bucket should hold, and entries a map task gathers before it hands them on.
 BUCKET_ENTRIES, FLUSH_ENTRIES = 500_000, 2_000_000
@@ -67,6 +70,13 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarr
     return grams[fresh], total[ends] - total[ends - counts]
 
 
+def column_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of a column of texts, some of them at once."""
+    parts = [shingle_sets(*part, n) for part in text_slices(*text_buffers(texts))] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    grams, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return grams, counts
+
+
 def set_keys(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit keys of each set."""
     ends, keys = np.cumsum(counts), []
@@ -131,18 +141,22 @@ def index_entries(grams: np.ndarray, counts: np.ndarray, keys: np.ndarray, perce
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def text_key() -> Column:
+    return F.xxhash64(doc_text())
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key, key2 of every row."""
+    """doc_id, n_shingles, key, key2, text_key (a hash of the text) of every row."""
     small_batches(docs.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts = shingle_sets(*text_buffers(batch.column(1)), n)
-            arrays = [batch.column(0), pa.array(counts), *map(pa.array, set_keys(grams, counts))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "key", "key2"])
+            grams, counts = column_sets(batch.column(1), n)
+            arrays = [batch.column(0), pa.array(counts), *map(pa.array, set_keys(grams, counts)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "key", "key2", "text_key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text().alias("text"))
-    return rows.mapInArrow(keyed, "doc_id long, n_shingles long, key long, key2 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text().alias("text"), text_key().alias("text_key"))
+    return rows.mapInArrow(keyed, "doc_id long, n_shingles long, key long, key2 long, text_key long")
 
 
 def bucketed_index(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -151,7 +165,7 @@ def bucketed_index(docs: DataFrame, n: int, percent: int, buckets: int) -> DataF
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            grams, counts = shingle_sets(*text_buffers(batch.column(0)), n)
+            grams, counts = column_sets(batch.column(0), n)
             held.append(index_entries(grams, counts, set_keys(grams, counts)[0], percent))
             if sum(len(h[0]) for h in held) > FLUSH_ENTRIES:
                 yield from flush(held)
@@ -270,7 +284,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def answers(list_id: int, rows: list[dict], crossing: bool, percent: int) -> list[tuple]:
-    """(rep, links, lowest) for the members of a list, or of two blocks of it."""
+    """(node, links, lowest) for the members of a list, or of two blocks of it."""
     sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     both = intersections(sets)
@@ -289,23 +303,23 @@ def answers(list_id: int, rows: list[dict], crossing: bool, percent: int) -> lis
         seen[tuple(np.array(marks).T)] = 1
         mine = link & (seen @ seen.T == 0)
     links = mine.astype(np.float64) @ np.array([r["copies"] for r in rows], np.float64)
-    lowest = reps = np.array([r["rep"] for r in rows], np.int64)
+    lowest = nodes = np.array([r["node"] for r in rows], np.int64)
     big = np.iinfo(np.int64).max
     while True:
         new = np.minimum(lowest, np.where(link, lowest[None, :], big).min(1))
         if (new == lowest).all():
             break
         lowest = new
-    return [(int(r), round(n), int(x)) for r, n, x in zip(reps, links, lowest, strict=True) if n or x != r]
+    return [(int(r), round(n), int(x)) for r, n, x in zip(nodes, links, lowest, strict=True) if n or x != r]
 
 
 def verified(needed: DataFrame, percent: int) -> DataFrame:
-    """rep, links, lowest from the members of each list."""
+    """node, links, lowest from the members of each list."""
     rows = needed.withColumn("one", F.explode("lists")).withColumn("blocks", F.col("one.blocks")).withColumn("list_id", F.col("one.list_id"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "key2"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", F.col("lists.list_id").alias("lists"), "grams")
-    dealt = rows.repartition(parallelism(rows.sparkSession), "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j", "rep")
+    rows = rows.select("list_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", F.col("lists.list_id").alias("lists"), "grams")
+    dealt = rows.repartition(parallelism(rows.sparkSession), "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
@@ -326,9 +340,9 @@ def verified(needed: DataFrame, percent: int) -> DataFrame:
 
     def result(out: list[tuple]) -> pa.RecordBatch:
         columns = zip(*out, strict=True) if out else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "lowest"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "lowest"])
 
-    return dealt.mapInArrow(verify, "rep long, links long, lowest long")
+    return dealt.mapInArrow(verify, "node long, links long, lowest long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -346,28 +360,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text); and text_key, and keeper: (doc_id, text_key) of the component's first document, null without a set or an id."""
     spark = docs.sparkSession
-    sets = written(document_sets(docs, n), "sets")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = written(document_sets(docs, n).withColumn("row", F.monotonically_increasing_id()), "sets")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "key2").agg(F.min("row").alias("node"), first, F.count("*").alias("copies"))
+    classes = written(classes.withColumn("rep", F.col("first.doc_id")), "classes")
     n_entries = sets.agg(F.sum(F.col("n_shingles"))).first()[0] or 0
     buckets = max(parallelism(spark), -(-int(n_entries) * (200 - 2 * percent) // (100 + percent) // BUCKET_ENTRIES))
     lists = written(index_lists(bucketed_index(docs.where("doc_id is not null"), n, percent, buckets), percent), "lists")
 
     blocks = lists.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     by_key = lists.join(blocks, "list_id").groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
-    wanted = written(classes.join(by_key, "key"), "wanted")
+    wanted = written(classes.drop("first").join(by_key, "key"), "wanted")
     needed = written(_with_grams(docs, wanted, n), "members")
-    found = written(verified(needed, percent).groupBy("rep", "lowest").agg(F.sum("links").alias("links")), "answers")
-    linked = components(found.where("rep <> lowest").select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = classes.join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select(F.col("key").alias("c1"), F.col("key2").alias("c2"), F.coalesce("component", "rep").alias("c_component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("c_links"))
+    found = written(verified(needed, percent).groupBy("node", "lowest").agg(F.sum("links").alias("links")), "answers")
+    linked = components(found.where("node <> lowest").select(F.col("node").alias("a"), F.col("lowest").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    about = classes.join(links, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    about = written(about.select(F.col("key").alias("c1"), F.col("key2").alias("c2"), "component", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("c_links")), "classes-linked")
+    firsts = about.groupBy("component").agg(F.min("first").alias("keeper"))
+    about = about.drop("first").join(firsts, "component")
     some: Column = F.col("n_shingles") > 0
-    joined = sets.join(about, some & (sets["key"] == about["c1"]) & (sets["key2"] == about["c2"]), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c_component", "doc_id"))
-    counted = F.when(F.col("doc_id").isNotNull(), F.coalesce("c_links", F.lit(0))).otherwise(0)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), counted.cast("long").alias("n_links"))
+    joined = sets.join(about, some & F.col("doc_id").isNotNull() & (sets["key"] == about["c1"]) & (sets["key2"] == about["c2"]), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("keeper.doc_id", "doc_id").alias("component_id"), F.coalesce("c_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "keeper")
 
 
 def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -378,7 +394,7 @@ def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts = shingle_sets(*text_buffers(batch.column(1)), n)
+            grams, counts = column_sets(batch.column(1), n)
             ends = np.concatenate([[0], 8 * np.cumsum(counts)]).astype(np.int64)
             blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(grams)])
             arrays = [batch.column(0), *map(pa.array, set_keys(grams, counts)), blobs.cast(pa.binary())]
@@ -389,4 +405,4 @@ def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
