@@ -72,7 +72,7 @@ def test_jaccard_join(spark, docs, n, percent):
             for at in rng.integers(0, size, rng.integers(0, 1 + size // 20) + 1):
                 w[at] = f"u{rng.integers(0, 9)}"
             texts.append(" ".join(w[rng.integers(0, 2) :]))
-    got = {r["doc_id"]: tuple(r)[1:] for r in op4_jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, percent).collect()}
+    got = {r["doc_id"]: tuple(r)[1:4] for r in op4_jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, percent).collect()}
     sets = [shingles(t, n) for t in texts]
     links = [[j for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)] for i, a in enumerate(sets)]
     for i, a in enumerate(sets):
@@ -126,7 +126,7 @@ def test_media_round_trip(spark, docs):
 
 
 def test_sharding(spark, docs):
-    rows = docs.select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    rows = docs.select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("size"), F.col("text").alias("text_digest"))
     got = op8_sharding.interleave(rows, 4).toPandas()
     counts = got.groupby("shard").size()
     assert counts.max() - counts.min() <= 1 and len(got) == len(TEXTS) + 1
