@@ -57,11 +57,3 @@ def rates_for(rows: DataFrame, rates: DataFrame, key: str, values: list[str]) ->
     """rates with a row for each listed value, also where there is none."""
     every = rows.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
     return every.join(rates, key, "left")
-
-
-def exact_quantile(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """by, n, quantile: nearest rank at floor(q * n), clamped, not interpolated. Nulls are left out."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
-    return ranked.where(F.col("i") == at).select(*by, "n", F.col(value).alias("quantile"))

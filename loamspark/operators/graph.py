@@ -30,13 +30,14 @@ def ring(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def flatten(spark: SparkSession, view: str, root: str = "parent_id is null") -> DataFrame:
-    """id, depth, path of a tree (id, parent_id, position) in pre-order by path; each level is one join, written before the next.
+def flatten(spark: SparkSession, view: str | DataFrame, root: str = "parent_id is null") -> DataFrame:
+    """id, depth, path of a tree (a table or its name; id, parent_id, position) in pre-order by path; each level is one join, written before the next.
 
     Trees may have any depth and number of rows. A node that is its own ancestor is left out where it comes again.
     """
-    nodes = spark.table(view)
-    at = F.lpad(F.col("position").cast("string"), 6, "0")
+    nodes = spark.table(view) if isinstance(view, str) else view
+    width = max(6, nodes.agg(F.max(F.length(F.col("position").cast("string")))).first()[0] or 0)  # wide enough for every position
+    at = F.lpad(F.col("position").cast("string"), width, "0")
     children = nodes.where("parent_id is not null").select("parent_id", F.col("id").alias("child"), at.alias("at"))
     level = kept(nodes.where(root).select("id", F.lit(0).alias("depth"), at.alias("path"), F.array("id").alias("line")), "tree")
     levels = []
@@ -45,3 +46,15 @@ def flatten(spark: SparkSession, view: str, root: str = "parent_id is null") ->
         step = level.join(children, F.col("parent_id") == F.col("id")).where(~F.coalesce(F.array_contains("line", F.col("child")), F.lit(False)))
         level = kept(step.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "at").alias("path"), F.concat("line", F.array("child")).alias("line")), "tree")
     return reduce(DataFrame.unionByName, levels, level.drop("line"))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """id, ancestor, distance of every node (id, parent_id): one join for each level, so few steps on wide trees; a node that comes again ends its line."""
+    parents = nodes.where("parent_id is not null").select(F.col("id").alias("ancestor"), F.col("parent_id").alias("next"))
+    level = kept(parents.select(F.col("ancestor").alias("id"), F.col("next").alias("ancestor"), F.lit(1).alias("distance"), F.array("ancestor", "next").alias("line")), "ancestors")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level.drop("line"))
+        step = level.join(parents, "ancestor").where(~F.array_contains("line", F.col("next")))
+        level = kept(step.select("id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat("line", F.array("next")).alias("line")), "ancestors")
+    return reduce(DataFrame.unionByName, levels, level.drop("line"))

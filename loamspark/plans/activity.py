@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import activity as op
+from ..operators import tallies
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -118,7 +119,7 @@ SQL["pending_plans"] = """
 select o_custkey as plan, count(*) filter (o_orderstatus = 'P') as pending, count(*) filter (o_orderstatus = 'F') as accepted, count(*) filter (o_orderstatus = 'O') as rejected, count(*) as total
 from orders group by 1 having count(*) filter (o_orderstatus = 'P') > 0"""
 
-QUERIES["nearest_rank_p90"] = lambda spark, d: op.exact_quantile(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9)
+QUERIES["nearest_rank_p90"] = lambda spark, d: tallies.quantile(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9)
 SQL["nearest_rank_p90"] = """
 select l_returnflag, n, l_extendedprice as quantile from (select l_returnflag, l_extendedprice, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 as i, count(*) over (partition by l_returnflag) as n from lineitem)
 where i = least(floor(0.9::double * n), n - 1)"""

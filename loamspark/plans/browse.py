@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import browse as op
-from ..operators import graph
+from ..operators import graph, tallies
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -34,7 +34,7 @@ select * from (select c_custkey, c_name, case when lower(c_name) = 'customer#000
 where rank is not null order by rank, lower(c_name), c_custkey limit 8"""
 QUERIES["latest_order_by_customer"] = lambda spark, d: op.latest_per_key(table(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
 SQL["latest_order_by_customer"] = "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1"
-QUERIES["queue_position"] = lambda spark, d: table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", op.running_position(None, "o_orderpriority", ["o_orderdate", "o_orderkey"]).alias("position"))
+QUERIES["queue_position"] = lambda spark, d: tallies.positions(table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderpriority", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "position")
 SQL["queue_position"] = "select o_orderkey, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as position from orders where o_orderstatus = 'O'"
 QUERIES["relation_counts"] = lambda spark, d: (
     lambda e: e.select(F.col("l_orderkey").alias("id"), F.lit("order").alias("kind")).unionByName(e.select(F.col("l_partkey").alias("id"), F.lit("part").alias("kind"))).groupBy("kind", "id").agg(F.count("*").alias("relations"))
@@ -63,8 +63,7 @@ def tree(spark, d):
     region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").alias("position"))
     nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_nationkey")
     customer = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_custkey")
-    region.union(nation).union(customer).createOrReplaceTempView("tree_nodes")
-    return graph.flatten(spark, "tree_nodes")
+    return graph.flatten(spark, region.union(nation).union(customer))
 
 
 QUERIES["tree_flatten"] = tree

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text as fn
+from ..functions.words import EXCERPT_STOP
 from ..operators import history as op
 from ..sources import table
 
@@ -75,17 +76,22 @@ def keywords(spark, d):
 
 QUERIES["keywords"] = keywords
 SQL["keywords"] = f"""
-with w as (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as nth from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') as l from documents)),
-c as (select doc_id, word, count(*) as n, min(nth) as nth from w where length(word) > 3 and word not in ({", ".join(f"'{w}'" for w in fn.STOP_WORDS)}) group by doc_id, word),
+with w as (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as nth from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as l from documents)),
+c as (select doc_id, word, count(*) as n, min(nth) as nth from w where length(word) > 3 and word not in ({", ".join(f"'{w}'" for w in EXCERPT_STOP)}) group by doc_id, word),
 r as (select *, row_number() over (partition by doc_id order by n desc, nth) as place from c)
 select doc_id, string_agg(word, ' ' order by place) as keywords from r where place <= 8 group by doc_id"""
-QUERIES["predecessor_trigrams"] = lambda spark, d: (
-    table(spark, d, "conversations")
-    .select("conv_id", "turn", fn.trigrams(F.col("text")).alias("now"), F.lag(fn.trigrams(F.col("text"))).over(op.Window.partitionBy("conv_id").orderBy("turn", "text")).alias("before"))
-    .select("conv_id", "turn", F.round(F.size(F.array_intersect("now", "before")) / F.size(F.array_union("now", "before")), 4).alias("jaccard")).where("jaccard is not null")
-)
+
+
+def predecessor_trigrams(spark, d):
+    """How alike each turn is to the one before it: the runs are computed once for a turn."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", fn.trigrams(F.col("text")).alias("now"))
+    met = turns.withColumn("before", F.lag("now").over(op.Window.partitionBy("conv_id").orderBy("turn", "text")))
+    return met.select("conv_id", "turn", F.round(F.size(F.array_intersect("now", "before")) / F.size(F.array_union("now", "before")), 4).alias("jaccard")).where("jaccard is not null")
+
+
+QUERIES["predecessor_trigrams"] = predecessor_trigrams
 _GRAMS = "list_distinct(list_transform(generate_series(1, length(p) - 2), lambda i: substring(p, i::int, 3)))"
 SQL["predecessor_trigrams"] = f"""
-with t as (select conv_id, turn, text, '  ' || trim(regexp_replace(translate(lower(text), '{fn.ACCENTED}', '{fn.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' ' as p from conversations),
+with t as (select conv_id, turn, text, '  ' || trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[\\^`]', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' ' as p from conversations),
 g as (select conv_id, turn, {_GRAMS} as a, lag({_GRAMS}) over (partition by conv_id order by turn, text) as b from t)
 select conv_id, turn, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 4) as jaccard from g where a is not null and b is not null"""

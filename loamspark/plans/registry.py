@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import activity, browse, history, ledger, retrieval, texts
+from . import activity, browse, candidates, history, ledger, predicates, retrieval, sources, texts, writes
 
-QUERIES = {**activity.QUERIES, **browse.QUERIES, **history.QUERIES, **ledger.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
-SQL = {**activity.SQL, **browse.SQL, **history.SQL, **ledger.SQL, **retrieval.SQL, **texts.SQL}
+MODULES = (activity, browse, history, ledger, retrieval, texts, predicates, writes, candidates, sources)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

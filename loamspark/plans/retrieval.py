@@ -1,6 +1,6 @@
 """Queries over vectors and token sets. In the embeddings a label is a universe and vectors of one label are one entity.
 
-Queries ending in _20th search with every vec_id divisible by 20; those without ask for the first ten ids, as their SQL has it.
+Every vec_id divisible by 20 is a query, against all others.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from ..operators import similarity as op
 from ..sources import table
 
 QUERIES, SQL = {}, {}
-FIRST_TEN, EACH_20TH = "vec_id < 10", "vec_id % 20 = 0"
+EACH_20TH = "vec_id % 20 = 0"
 
 
-def nearest(spark, d, asked=FIRST_TEN):
+def nearest(spark, d, asked=EACH_20TH):
     vectors = table(spark, d, "embeddings")
     return op.nearest(vectors.where(asked), vectors, 10, -1.0, "label").select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
@@ -25,26 +25,26 @@ _COSINE = f"{_DOT} / (sqrt(list_inner_product(q.embedding::double[], q.embedding
 QUERIES["nearest_vectors"] = nearest
 SQL["nearest_vectors"] = f"""
 select query_id, vec_id, rank, round(score, 5) as score from (select q.vec_id as query_id, p.vec_id, {_COSINE} as score, row_number() over (partition by q.vec_id order by {_COSINE} desc, p.vec_id) as rank
-  from embeddings q join embeddings p on q.label = p.label and q.vec_id <> p.vec_id where q.vec_id < 10) where rank <= 10"""
+  from embeddings q join embeddings p on q.label = p.label and q.vec_id <> p.vec_id where q.vec_id % 20 = 0) where rank <= 10"""
 
 
-def boosted(spark, d, asked=FIRST_TEN):
+def boosted(spark, d, asked=EACH_20TH):
     """Cosine plus 0.03 where a keyword (here the parity of the id) is shared, then the floor, then the top 12."""
     vectors = table(spark, d, "embeddings")
     return op.best(vectors.where(asked), vectors, 12, 0.2, [], lambda q, p: 0.03 * ((p - q) % 2 == 0))
 
 
-def boosted_rounded(spark, d, asked=FIRST_TEN):
+def boosted_rounded(spark, d, asked=EACH_20TH):
     return boosted(spark, d, asked).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 QUERIES["boosted_retrieval"] = boosted_rounded
 SQL["boosted_retrieval"] = f"""
-with s as (select q.vec_id as query_id, q.label as ql, p.label as pl, p.vec_id, {_COSINE} + case when (p.vec_id - q.vec_id) % 2 = 0 then 0.03::double else 0 end as score from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id < 10)
+with s as (select q.vec_id as query_id, q.label as ql, p.label as pl, p.vec_id, {_COSINE} + case when (p.vec_id - q.vec_id) % 2 = 0 then 0.03::double else 0 end as score from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id % 20 = 0)
 select query_id, vec_id, round(score, 5) as score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 12"""
 
 
-def quality(spark, d, asked=FIRST_TEN):
+def quality(spark, d, asked=EACH_20TH):
     """Recall at 12 and reciprocal rank of each query; vectors of the same label are relevant."""
     vectors = table(spark, d, "embeddings")
     queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
@@ -58,26 +58,26 @@ def quality(spark, d, asked=FIRST_TEN):
 
 QUERIES["retrieval_quality"] = quality
 SQL["retrieval_quality"] = f"""
-with s as (select q.vec_id as query_id, q.label as ql, p.label as pl, p.vec_id, {_COSINE} + case when (p.vec_id - q.vec_id) % 2 = 0 then 0.03::double else 0 end as score from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id < 10),
+with s as (select q.vec_id as query_id, q.label as ql, p.label as pl, p.vec_id, {_COSINE} + case when (p.vec_id - q.vec_id) % 2 = 0 then 0.03::double else 0 end as score from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id % 20 = 0),
 h as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.2 qualify rank <= 12),
-q as (select e.vec_id as query_id, e.label, (select count(*) - 1 from embeddings x where x.label = e.label) as relevant from embeddings e where e.vec_id < 10)
+q as (select e.vec_id as query_id, e.label, (select count(*) - 1 from embeddings x where x.label = e.label) as relevant from embeddings e where e.vec_id % 20 = 0)
 select q.query_id, round(count(*) filter (h.ql = h.pl) / nullif(least(relevant, 12), 0)::double, 6) as recall, round(coalesce(max(case when h.ql = h.pl then 1.0::double / rank end), 0), 6) as reciprocal_rank
 from q left join h on h.query_id = q.query_id group by q.query_id, relevant"""
 
 
-def sweep(spark, d, asked=FIRST_TEN):
+def sweep(spark, d, asked=EACH_20TH):
     vectors = table(spark, d, "embeddings")
     return op.cell_costs(op.pair_cells(vectors.where(asked), vectors))
 
 
 QUERIES["threshold_sweep"] = sweep
 SQL["threshold_sweep"] = f"""
-with s as (select greatest(0, {_COSINE}) as score, q.label = p.label as same from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id < 10), c as (select floor(score * 20 + 1e-9) as cell, same from s)
+with s as (select greatest(0, {_COSINE}) as score, q.label = p.label as same from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id % 20 = 0), c as (select floor(score * 20 + 1e-9) as cell, same from s)
 select i * 5 / 100.0::double as threshold, count(*) filter (not same and cell >= i) as false_merges, count(*) filter (same and cell < i) as false_splits, 5.0::double * count(*) filter (not same and cell >= i) + count(*) filter (same and cell < i) as cost
 from range(1, 20) r(i), c group by i"""
 for _name, _query in (("nearest_vectors", nearest), ("boosted_retrieval", boosted_rounded), ("retrieval_quality", quality), ("threshold_sweep", sweep)):
     QUERIES[f"{_name}_20th"] = lambda spark, d, query=_query: query(spark, d, EACH_20TH)
-    SQL[f"{_name}_20th"] = SQL[_name].replace(FIRST_TEN, EACH_20TH)
+    SQL[f"{_name}_20th"] = SQL[_name]
 QUERIES["benchmark_jaccard"] = lambda spark, d: op.jaccard_join(table(spark, d, "benchmark").select("item_id", fn.unicode_words(F.col("text")).alias("tokens")), "item_id", "tokens", 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 SQL["benchmark_jaccard"] = """
 with t as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from benchmark),
