@@ -164,7 +164,8 @@ def docx_blocks(content: bytes) -> str | None:
         body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return None
-    said = lambda node: " ".join("".join("\n" if t.tag == f"{W}br" else "\t" if t.tag == f"{W}tab" else t.text or "" for t in node.iter(f"{W}t", f"{W}br", f"{W}tab")).split())
+    signs = {f"{W}br": "\n", f"{W}tab": "\t"}
+    said = lambda node: " ".join("".join(signs.get(t.tag) or (t.tag == f"{W}t" and t.text) or "" for t in node.iter()).split())
     blocks: list[tuple[str, str]] = []
     for node in body if body is not None else []:
         if node.tag == f"{W}tbl":
