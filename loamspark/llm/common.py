@@ -179,6 +179,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, counts
 
 
+def column_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of a column of texts, some of them at once."""
+    parts = [word_hashes(*part) for part in text_slices(*text_buffers(texts))] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    hashes, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return hashes, counts
+
+
 def ragged(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... within each run of the given lengths."""
     ends = np.cumsum(counts)
