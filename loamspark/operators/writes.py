@@ -253,3 +253,12 @@ def _plain(value):
     if isinstance(value, list):
         return [_plain(v) for v in value]
     return int(value) if isinstance(value, float) and value.is_integer() and abs(value) < 1e21 else value
+
+
+def keyed(rows: DataFrame, key: str, path: str, types: DataFrame) -> DataFrame:
+    """rows (key, path: a JSON array of labels) with the labels' keys in their place; labels without a type stay. types has label, key, owner, nth; owned ones come first."""
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.col("owner").isNull(), "nth"))
+    keys = types.withColumn("_p", first).where("_p = 1").select("label", F.col("key").alias("_key"))
+    each = rows.select(key, F.posexplode(F.from_json(path, "array<string>")).alias("_at", "label")).join(keys, "label", "left")
+    back = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_key", "label").alias("_v")))).alias("_parts"))
+    return rows.select(key, F.col(path).alias("_old")).join(back, key, "left").select(key, F.coalesce(F.to_json("_parts._v"), "_old").alias(path))

@@ -195,3 +195,95 @@ QUERIES["attempt_order"] = lambda spark, d: events(spark, d).withColumn("tier",
 SQL["attempt_order"] = f"with {_E} select event_id, (['media', 'text', 'draft'])[k % 3 + 1] as tier from e order by case k % 3 when 1 then 0 when 2 then 1 else 2 end, event_id limit 50"
 QUERIES["global_first"] = lambda spark, d: table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").orderBy(F.col("quality").isNull().desc(), "source", "doc_id").limit(50).select("doc_id", "quality")
 SQL["global_first"] = "select doc_id, quality from documents left join labels using (doc_id) order by quality is null desc, source nulls first, doc_id limit 50"
+
+
+def spending(spark, d):
+    """Each user's events as steps of a job that may cost 900: what does not fit is rejected, and the next one may."""
+    from ..operators import writes
+
+    steps = table(spark, d, "events").select("user_id", "event_id", "value", F.lit(900.0).alias("budget"))
+    return writes.spent(steps, "user_id", "event_id", "value", "budget").select("event_id", F.col("accepted").cast("int").alias("accepted"), F.round("spent", 4).alias("spent"))
+
+
+QUERIES["budgeted_spend"] = spending
+SQL["budgeted_spend"] = """
+with recursive s as (select *, row_number() over (partition by user_id order by event_id) as n from events),
+w(user_id, n, event_id, accepted, spent) as (select user_id, 0, null::bigint, false, 0::double from (select distinct user_id from events)
+  union all select w.user_id, s.n, s.event_id, w.spent + s.value <= 900, w.spent + case when w.spent + s.value <= 900 then s.value else 0 end from w join s on s.user_id = w.user_id and s.n = w.n + 1)
+select event_id, accepted::int as accepted, round(spent, 4) as spent from w where n > 0"""
+
+
+def gates(spark, d):
+    """Steps that may run: the worst case is twice the cost, purchases propose, the reserve may be drawn on once before that."""
+    from ..operators import writes
+
+    steps = events(spark, d).select("user_id", "event_id", (F.col("value") * 2).alias("worst"), F.col("value").alias("cost"), (F.col("event_type") == "purchase").alias("proposes"), (F.col("user_id") * 40.0).alias("budget"), F.lit(150.0).alias("reserve"))
+    return writes.gated(steps, "user_id", "event_id", "worst", "cost", "proposes", "budget", "reserve").groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("steps"))
+
+
+QUERIES["budget_gates"] = gates
+SQL["budget_gates"] = """
+with recursive s as (select *, row_number() over (partition by user_id order by event_id) as n, user_id * 40.0::double as budget from events),
+w(user_id, n, used, proposed, drawn, ended) as (select user_id, 0, 0::double, false, false, false from (select distinct user_id from events)
+  union all select user_id, n, case when ended then used else used + value end, proposed or (not ended and event_type = 'purchase'), drawn, ended from (
+    select w.user_id, s.n, w.used, s.value, s.event_type, w.proposed, w.drawn or (not w.ended and w.used + 2 * s.value > s.budget and not w.proposed and not w.drawn and w.used + 2 * s.value <= s.budget + 150) as drawn,
+      w.ended or not (w.used + 2 * s.value <= s.budget or (not w.proposed and not w.drawn and w.used + 2 * s.value <= s.budget + 150)) as ended from w join s on s.user_id = w.user_id and s.n = w.n + 1))
+select user_id, count(*) filter (n > 0 and not ended) as allowed, count(*) filter (n > 0) as steps from w group by user_id"""
+
+
+def canonical(spark, d):
+    """Numbered texts as JSON with keys in any order, brought to one form."""
+    from ..operators import writes
+
+    json = F.concat(F.lit('{ "z": '), F.col("k"), F.lit(', "a": {"c": ['), F.col("user_id"), F.lit('.0, null], "b": "é'), F.col("event_type"), F.lit('"} }'))
+    return events(spark, d).select("event_id", writes.canonical_json(F.when(F.col("k") % 9 == 0, "{").otherwise(json)).alias("json"))
+
+
+QUERIES["canonical_json"] = canonical
+SQL["canonical_json"] = f"""with {_E} select event_id, case when k % 9 > 0 then '{{"a":{{"b":"é' || event_type || '","c":[' || user_id || ',null]}},"z":' || k || '}}' end as json from e"""
+
+
+def keyed_paths(spark, d):
+    """Paths of labels in JSON as paths of keys: a part's own brand before those of others."""
+    from ..operators import writes
+
+    p = table(spark, d, "part")
+    types = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("nth")).select("label", fn.derived_key(F.col("label")).alias("key"), F.when(F.col("nth") % 2 == 0, "mine").alias("owner"), "nth")
+    twice = types.unionByName(types.select("label", F.concat("key", F.lit("_own")).alias("key"), F.lit("mine").alias("owner"), (F.col("nth") + 1000).alias("nth")))
+    rows = p.select(F.col("p_partkey").alias("id"), F.to_json(F.array("p_name", F.lit("unknown label"), "p_name")).alias("path"))
+    return writes.keyed(rows, "id", "path", twice)
+
+
+QUERIES["keyed_paths"] = keyed_paths
+SQL["keyed_paths"] = """
+with t as (select p_name, min(p_partkey) % 2 = 0 as mine from part group by 1), k as (select p_name, replace(p_name, ' ', '_') || case when mine then '' else '_own' end as key from t)
+select p_partkey as id, '["' || key || '","unknown label","' || key || '"]' as path from part join k using (p_name)"""
+
+
+def cleaned(spark, d):
+    text = F.concat(F.lit("&lt;b&gt; &#233;&#x41;&nope; &amp;amp; "), "text")
+    return table(spark, d, "benchmark").select("item_id", archives.entities_decoded(text).alias("text"))
+
+
+QUERIES["decoded_entities"] = cleaned
+SQL["decoded_entities"] = "select item_id, '<b> éA&nope; &amp; ' || text as text from benchmark"
+
+
+def warm(spark, d):
+    """What signups (prep), views (opening), clicks (consumption) and purchases (nightly) ask to be warmed, over the relations by errors."""
+    from ..operators import writes
+
+    e = events(spark, d)
+    trigger = F.when(F.col("event_type") == "signup", "prep").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "consumption").when(F.col("event_type") == "purchase", "nightly")
+    start = e.select((F.col("user_id") % 5).alias("universe"), F.col("k").alias("entity"), trigger.alias("trigger")).where("trigger is not null")
+    ring = e.where("event_type = 'error'").select((F.col("user_id") % 5).alias("universe"), F.col("k").alias("entity"), ((F.col("k") * 7 + 1) % 100).alias("near"), (F.col("k") % 2 + 1).alias("depth"))
+    rates = e.groupBy((F.col("user_id") % 5).alias("universe")).agg(F.max("k").alias("m")).select("universe", F.when(F.col("universe") < 2, 0.1).when(F.col("universe") < 4, 0.5).alias("rate"))
+    return writes.warmed(start, ring, rates, e.where("user_id % 5 < 3").select((F.col("user_id") % 5).alias("universe"))).groupBy("universe", "trigger").agg(F.count("*").alias("n"), F.sum("entity").alias("ids"))
+
+
+QUERIES["warm_triggers"] = warm
+SQL["warm_triggers"] = f"""
+with {_E}, s as (select user_id % 5 as u, k as x, case event_type when 'signup' then 'prep' when 'view' then 'open' when 'click' then 'consumption' when 'purchase' then 'nightly' end as t from e where event_type <> 'error'),
+r as (select user_id % 5 as u, k as x, (k * 7 + 1) % 100 as near, k % 2 + 1 as depth from e where event_type = 'error'),
+w as (select u, x, t from s where t <> 'nightly' or u < 3 union select s.u, near, t from s join r on r.u = s.u and r.x = s.x where t = 'consumption' and depth <= case when s.u < 2 then 1 else 2 end)
+select u as universe, t as trigger, count(*) as n, sum(x)::bigint as ids from w group by 1, 2"""
