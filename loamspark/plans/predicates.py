@@ -146,8 +146,8 @@ def caps(spark, d):
 
 QUERIES["effective_caps"] = caps
 SQL["effective_caps"] = f"""
-with {_E}, r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as at from e)
-select user_id, case when user_id % 4 > 0 then greatest(3, 6 - count(*) filter ({_REASON} = 'too_much'))::int end as cap from r where at <= 20 group by user_id"""
+with {_E}, r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as nth from e)
+select user_id, case when user_id % 4 > 0 then greatest(3, 6 - count(*) filter ({_REASON} = 'too_much'))::int end as cap from r where nth <= 20 group by user_id"""
 
 
 def quotas(spark, d):

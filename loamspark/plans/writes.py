@@ -80,9 +80,9 @@ def vocabulary(spark, d):
 
 QUERIES["vocabulary"] = vocabulary
 SQL["vocabulary"] = """
-with o as (select lower(p_name) as key, p_name as label, p_brand as r, 1 as late, p_partkey as at from part union all select 'cold widget', 'Cold Widget', 'Brand#1', 0, 0 union all select 'cold widget', 'Cold Widget', 'Brand#99', 0, 1),
-f as (select key, r, min(late * 1000000000 + at) as at from o group by key, r), l as (select key, string_agg(r, '|' order by at) as relations from f group by key)
-select key, min_by(label, late * 1000000000 + at) as label, any_value(relations) as relations, sum(late)::bigint as times from o join l using (key) group by key union all select 'unheard of', 'Unheard of', '', 0"""
+with o as (select lower(p_name) as key, p_name as label, p_brand as r, 1 as late, p_partkey as nth from part union all select 'cold widget', 'Cold Widget', 'Brand#1', 0, 0 union all select 'cold widget', 'Cold Widget', 'Brand#99', 0, 1),
+f as (select key, r, min(late * 1000000000 + nth) as nth from o group by key, r), l as (select key, string_agg(r, '|' order by nth) as relations from f group by key)
+select key, min_by(label, late * 1000000000 + nth) as label, any_value(relations) as relations, sum(late)::bigint as times from o join l using (key) group by key union all select 'unheard of', 'Unheard of', '', 0"""
 
 
 def merged_labels(spark, d):
