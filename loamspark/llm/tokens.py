@@ -15,9 +15,9 @@ import numpy as np
 from .common import text_slices, word_hashes
 
 #: Words a worker remembers before it starts anew; one text may have more.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 #: The table of words has two to the power of so many places, or more where one text needs them.
-TABLE_BITS = 22
+TABLE_BITS = 21
 
 
 def default_vocabulary() -> str:
