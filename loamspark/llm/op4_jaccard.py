@@ -37,7 +37,7 @@ from .common import doc_text, mix64, parallelism, ragged, small_batches, table,
 BUCKET_ENTRIES, FLUSH_ENTRIES = 500_000, 2_000_000
 #: Members of a block of a long list.
 BLOCK = 1024
-#: Up to so many document ids (8 bytes each) are broadcast to pick out the documents to verify; beyond, a shuffle joins them.
+#: Up to so many document ids or long lists (8 or 12 bytes each) are broadcast; beyond, a shuffle joins them.
 BROADCAST_IDS = 2_000_000
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -370,8 +370,10 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     buckets = max(parallelism(spark), -(-int(n_entries) * (200 - 2 * percent) // (100 + percent) // BUCKET_ENTRIES))
     lists = written(index_lists(bucketed_index(docs.where("doc_id is not null"), n, percent, buckets), percent), "lists")
 
-    blocks = lists.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    by_key = lists.join(blocks, "list_id").groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
+    long = lists.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).where("blocks > 1")
+    long = written(long, "long-lists")  # one for each BLOCK members at most
+    dealt = lists.join(F.broadcast(long) if long.count() <= BROADCAST_IDS else long, "list_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    by_key = dealt.groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
     wanted = written(classes.drop("first").join(by_key, "key"), "wanted")
     needed = written(_with_grams(docs, wanted, n), "members")
     found = written(verified(needed, percent).groupBy("node", "lowest").agg(F.sum("links").alias("links")), "answers")
