@@ -15,8 +15,8 @@ from .predicates import _E, edges, events
 
 QUERIES, SQL = {}, {}
 #: A name no other contains, as a whole phrase, and an alias that others may share.
-_NAME, _ALIAS = "'Person ' || c_custkey", "'the ' || lower(c_mktsegment) || ' of ' || c_nationkey"
-_BODY = "'## About' || chr(10) || chr(10) || 'Met Person ' || (c_custkey * 7 + 1) % n || '. Then [[person ' || (c_custkey * 3 + 2) % n || ']] saw The ' || c_mktsegment || ' of ' || c_nationkey || '! Personal notes on Person ' || c_custkey || 'x.'"
+_NAME, _ALIAS = "'Person ' || c_custkey", "'the ' || lower(c_mktsegment) || ' of ' || c_nationkey || ' no ' || c_custkey % 97"
+_BODY = "'## About' || chr(10) || chr(10) || 'Met Person ' || (c_custkey * 7 + 1) % n || '. Then [[person ' || (c_custkey * 3 + 2) % n || ']] saw The ' || c_mktsegment || ' of ' || c_nationkey || ' no ' || c_custkey % 97 || '! Personal notes on Person ' || c_custkey || 'x.'"
 
 
 def entities(spark, d):
@@ -26,10 +26,10 @@ def entities(spark, d):
 
 
 _SAID = f"""n as (select count(*) as n from customer), said as (select c_custkey as source, 0 as pl, '## About' as sentence from customer union all select c_custkey, 1, 'Met Person ' || (c_custkey * 7 + 1) % n || '.' from customer, n
-  union all select c_custkey, 2, 'Then [[person ' || (c_custkey * 3 + 2) % n || ']] saw The ' || c_mktsegment || ' of ' || c_nationkey || '!' from customer, n union all select c_custkey, 3, 'Personal notes on Person ' || c_custkey || 'x.' from customer),
+  union all select c_custkey, 2, 'Then [[person ' || (c_custkey * 3 + 2) % n || ']] saw The ' || c_mktsegment || ' of ' || c_nationkey || ' no ' || c_custkey % 97 || '!' from customer, n union all select c_custkey, 3, 'Personal notes on Person ' || c_custkey || 'x.' from customer),
 named as (select source, 1 as pl, (source * 7 + 1) % n as entity, 'Person ' || (source * 7 + 1) % n as matched from said, n where pl = 1
   union all select source, 2, (source * 3 + 2) % n, 'Person ' || (source * 3 + 2) % n from said, n where pl = 2
-  union all select a.c_custkey, 2, b.c_custkey, {_ALIAS.replace("c_", "b.c_")} from n, customer a join customer b on a.c_mktsegment = b.c_mktsegment and a.c_nationkey = b.c_nationkey where b.c_custkey <> (a.c_custkey * 3 + 2) % n.n)"""
+  union all select a.c_custkey, 2, b.c_custkey, {_ALIAS.replace("c_", "b.c_")} from n, customer a join customer b on a.c_mktsegment = b.c_mktsegment and a.c_nationkey = b.c_nationkey and a.c_custkey % 97 = b.c_custkey % 97 where b.c_custkey <> (a.c_custkey * 3 + 2) % n.n)"""
 
 
 def named(spark, d):
@@ -43,12 +43,12 @@ SQL["mentions"] = f"with {_SAID} select source, pl as place, entity, matched fro
 
 def resolved(spark, d):
     e = entities(spark, d)
-    links = table(spark, d, "customer").select("c_custkey", F.expr("case c_custkey % 3 when 0 then ' PERSON ' || c_custkey || ' ' when 1 then 'The ' || c_mktsegment || ' of ' || c_nationkey else 'nobody' end").alias("link"))
+    links = table(spark, d, "customer").select("c_custkey", F.expr("case c_custkey % 3 when 0 then ' PERSON ' || c_custkey || ' ' when 1 then 'The ' || c_mktsegment || ' of ' || c_nationkey || ' no ' || c_custkey % 97 else 'nobody' end").alias("link"))
     return mentions.resolved(links, "link", e, "entity", "name", "aliases", "entity").select("c_custkey", "entity")
 
 
 QUERIES["resolved_links"] = resolved
-SQL["resolved_links"] = "select c_custkey, case c_custkey % 3 when 0 then c_custkey when 1 then min(c_custkey) over (partition by c_mktsegment, c_nationkey) end as entity from customer"
+SQL["resolved_links"] = "select c_custkey, case c_custkey % 3 when 0 then c_custkey when 1 then min(c_custkey) over (partition by c_mktsegment, c_nationkey, c_custkey % 97) end as entity from customer"
 
 
 def edited(spark, d):
