@@ -28,3 +28,12 @@ def changed_by_hash(old: DataFrame, new: DataFrame, key: str, text: str) -> Data
     after = new.select(key, F.sha2(F.col(text), 256).alias("_new"))
     status = F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("_new"), "same").otherwise("changed")
     return after.join(before, key, "left").select(key, status.alias("status"))
+
+
+def revived(old: DataFrame, new: DataFrame, key: list[str], mark: str = "missing") -> DataFrame:
+    """References after an import: those of new with their values and not missing, also where they had been; the others of old as they were.
+
+    old has the columns of new and ``mark``. Where new has a key twice, any one of its rows stays.
+    """
+    fresh = new.dropDuplicates(key).withColumn(mark, F.lit(False))
+    return old.join(fresh.select(*key), key, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))

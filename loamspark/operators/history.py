@@ -63,3 +63,11 @@ def latest_ratio(rows: DataFrame, key: str, order: str, n: int, over: Column, by
 def folded(rows: DataFrame, key: Column, member: str) -> DataFrame:
     """key, members (distinct, in order), times: repeated proposals of a key become one row."""
     return rows.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set(member)).alias("members"), F.count("*").alias("times"))
+
+
+def settled_or_stopped(rows: DataFrame, key: str, at: str, tie: str, final: Column, ceiling: Column) -> DataFrame:
+    """The row that settles each key: its first final one; without one, its last that only reached a ceiling, which a later one may still replace."""
+    order = F.struct(at, tie)
+    whole = F.struct(*rows.columns)
+    ends = rows.groupBy(key).agg(F.min_by(whole, F.when(final, order)).alias("f"), F.max_by(whole, F.when(ceiling, order)).alias("c"))
+    return ends.select(F.coalesce("f", "c").alias("r")).where("r is not null").select("r.*")

@@ -203,3 +203,46 @@ QUERIES["balances"] = lambda spark, d: table(spark, d, "events").groupBy("user_i
 ).select("user_id", (F.coalesce("p", F.lit(0)) + F.coalesce("v", F.lit(0))).cast("double").alias("total"), (F.coalesce("p", F.lit(0)) - F.coalesce("v", F.lit(0))).cast("double").alias("remaining"))
 SQL["balances"] = """
 with u as (select user_id, coalesce(sum(value::decimal(18, 2)) filter (event_type = 'purchase'), 0) as p, coalesce(sum(value::decimal(18, 2)) filter (event_type = 'view'), 0) as v from events group by 1) select user_id, (p + v)::double as total, (p - v)::double as remaining from u"""
+
+
+def settled_jobs(spark, d):
+    """How each user's events settle: purchases and errors are final, a click only reaches a ceiling."""
+    from ..operators import history
+
+    e = events(spark, d).where("user_id % 5 < 4 or event_type not in ('purchase', 'error')")
+    return history.settled_or_stopped(e, "user_id", "ts", "event_id", F.col("event_type").isin("purchase", "error"), F.col("event_type") == "click").select("user_id", "event_id", "event_type")
+
+
+QUERIES["settled_jobs"] = settled_jobs
+SQL["settled_jobs"] = """
+with e as (select * from events where user_id % 5 < 4 or event_type not in ('purchase', 'error')), f as (select * from e where event_type in ('purchase', 'error') qualify row_number() over (partition by user_id order by ts, event_id) = 1),
+c as (select * from e where event_type = 'click' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
+select user_id, event_id, event_type from f union all select user_id, event_id, event_type from c where user_id not in (select user_id from f)"""
+
+
+def revived_refs(spark, d):
+    """References to documents after a second import of every third: those are back and refreshed, the others as they were."""
+    from ..operators import changes
+
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"))
+    old = docs.select("doc_id", "hash", (F.col("doc_id") % 2 == 0).alias("missing"))
+    new = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 1_000_000).otherwise(0)).alias("doc_id"), F.reverse("hash").alias("hash"))
+    return changes.revived(old, new, ["doc_id"]).select("doc_id", "hash", F.col("missing").cast("int").alias("missing"))
+
+
+QUERIES["revived_refs"] = revived_refs
+SQL["revived_refs"] = """
+with d as (select doc_id, md5(text) as h from documents) select doc_id, h as hash, (doc_id % 2 = 0)::int as missing from d where not (doc_id % 3 = 0 and doc_id % 5 > 0) union all select doc_id + case when doc_id % 5 = 0 then 1000000 else 0 end, reverse(h), 0 from d where doc_id % 3 = 0"""
+
+
+def nested_orders(spark, d):
+    """Customers of each nation with their orders, as arrays in arrays."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda o: o["o_orderkey"]).alias("orders"))
+    c = table(spark, d, "customer").join(orders, "c_custkey", "left").select("c_nationkey", F.struct("c_custkey", F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders")).alias("c"))
+    return c.groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list("c"))).alias("customers"))
+
+
+QUERIES["nested_orders"] = nested_orders
+SQL["nested_orders"] = """
+with o as (select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderdate, o_orderkey) as orders from orders group by 1)
+select c_nationkey, '[' || string_agg('{"c_custkey":' || c_custkey || ',"orders":[' || coalesce(orders, '') || ']}', ',' order by c_custkey) || ']' as customers from customer left join o on o_custkey = c_custkey group by 1"""
