@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_licences, op2_toxicity, op3_mixing, op4_jaccard, op5_packing, op6_pitman_yor, op7_media, op8_sharding, op9_ann, op10_token_files
+from . import op1_licences, op2_toxicity, op3_mixing, op4_jaccard, op5_packing, op6_pitman_yor, op7_media, op8_sharding, op9_ann, op10_token_files, op12_prefix_trie, op13_importance
 
 QUERIES = {
     "op1_licences": op1_licences.op1_licences,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_sharding": op8_sharding.op8_sharding,
     "op9_ann": op9_ann.op9_ann,
     "op10_token_files": op10_token_files.op10_token_files,
+    "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
+    "op13_importance": op13_importance.op13_importance,
 }
 
 SQL = {
     "op1_licences": op1_licences.SQL,
     "op3_mixing": op3_mixing.SQL,
+    "op12_prefix_trie": op12_prefix_trie.SQL,
 }
