@@ -136,7 +136,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     if not _powers or len(_powers[0]) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -171,7 +171,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     low = data.astype(np.uint64)
     low[(data >= 65) & (data <= 90)] += np.uint64(32)
     low += np.uint64(1)
-    power, inverse = _power_tables(n + 1)
+    power, inverse = power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix64(low) * power[:n], out=total[1:])
     hashes = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))

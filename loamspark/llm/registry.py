@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_licences, op2_toxicity, op3_mixing, op4_jaccard, op5_packing, op6_pitman_yor, op7_media, op8_sharding, op9_ann, op10_token_files, op12_prefix_trie, op13_importance
+from . import op1_licences, op2_toxicity, op3_mixing, op4_jaccard, op5_packing, op6_pitman_yor, op7_media, op8_sharding, op9_ann, op10_token_files, op11_suffix_dedup, op12_prefix_trie, op13_importance
 
 QUERIES = {
     "op1_licences": op1_licences.op1_licences,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": op8_sharding.op8_sharding,
     "op9_ann": op9_ann.op9_ann,
     "op10_token_files": op10_token_files.op10_token_files,
+    "op11_suffix_dedup": op11_suffix_dedup.op11_suffix_dedup,
     "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
     "op13_importance": op13_importance.op13_importance,
 }
