@@ -5,11 +5,13 @@ A record is: length of the payload (unsigned 64 bits), masked checksum of those
 4 where an id needs it), and the ids. All numbers are little-endian. The checksum is crc32, masked as (crc rotated right by 15) + 0xa282ead8,
 so that checksums of data that hold checksums stay good.
 
-Files are written by Spark's own text sink, which writes bytes as they are and ends each row with a line feed, the record's last byte; so
+Files are written by Spark's own text sink, which writes bytes as they are and ends each row with a line feed, the last record's last byte; so
 writes are committed by task as usual, and a lost executor's files are written again. Texts are range-partitioned by doc_id and, within one, a
-digest of the text, into as many parts as keep a file's texts near ``FILE_BYTES``: part files in the order of their names hold the documents
-in ascending order. A part with many rows (of one id and text, say) is cut into files of ``FILE_ROWS`` rows. The index (Parquet: file, doc_id, offset, n_bytes, start, n_tokens,
-ids_crc32) is made by reading the files back and checking every checksum; a shuffled reader takes its offsets from there.
+digest of the text and their place in the input (so no run of equal rows has to stay in one part), into parts of about ``PART_BYTES`` of text. A task
+closes a file before a record that would bring it over ``FILE_BYTES``; a longer record is a file of its own. Files in the order of the two numbers in their
+names, the part's and the file's, hold the documents in ascending order; the numbers have more digits than names are padded to, so names do not sort as
+text. The index (Parquet: file, doc_id, offset, n_bytes, start, n_tokens, ids_crc32) is made by reading the files back and checking
+every checksum; a shuffled reader takes its offsets from there.
 
 Defined results: a null text is empty and so is the end id alone; a null doc_id is written as the smallest 64-bit number and comes back as
 null; repeated doc_ids are records of their own, ordered by a digest of the text, and equal rows are interchangeable; a text of any length is
@@ -24,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ARROW_ROWS, BATCH_ROWS, doc_text, parallelism, scratch, settings, table, text_buffers, written
 from .tokens import default_vocabulary, encoder
 
 NULL_ID = -(1 << 63)
-#: Bytes of text that a part should hold, and rows that a file holds at most. A reader holds one file at a time.
-FILE_BYTES, FILE_ROWS = 32 << 20, 50_000
+#: Bytes of text that a part should hold, and bytes of records that a file does. A reader holds one file at a time.
+PART_BYTES, FILE_BYTES = 2 << 30, 16 << 20
 
 
 def masked(data: bytes) -> int:
@@ -73,24 +75,36 @@ def parse(payload: memoryview) -> tuple[int, np.ndarray]:
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write docs (doc_id, text) to path as record files in ascending doc_id order."""
-    spark = docs.sparkSession
+    spark, file_bytes = docs.sparkSession, FILE_BYTES
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, held, size = encoder(vocabulary), [], 0
         for batch in batches:
             ids, counts = e.encode(*text_buffers(batch.column(1)))
             ends = np.cumsum(counts)
-            out = []
             for doc_id, b, n in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), counts.tolist(), strict=True):
-                out.append(frame(payload_of(doc_id, np.append(ids[b : b + n], np.uint32(end_id)))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                record = frame(payload_of(doc_id, np.append(ids[b : b + n], np.uint32(end_id))))
+                if held and size + len(record) + 1 > file_bytes:
+                    yield _file(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + 1
+        if held:
+            yield _file(held)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), doc_text().alias("text"))
-    parts = max(parallelism(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
-    dealt = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    parts = max(parallelism(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    order = ["doc_id", "digest", "place"]
+    dealt = rows.withColumn("digest", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     with settings(spark, {ARROW_ROWS: str(BATCH_ROWS)}):
-        framed = dealt.select("doc_id", "text").mapInArrow(frames, "frame binary")
-        framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_ROWS).text(path)
+        whole = dealt.select("doc_id", "text").mapInArrow(files, "records binary").select(F.col("records").cast("string"))
+        whole.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def _file(records: list[bytes]) -> pa.RecordBatch:
+    """A row that the sink makes a file of; it adds the last line feed."""
+    return pa.RecordBatch.from_arrays([pa.array([b"\n".join(records)], pa.binary())], ["records"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -128,12 +142,24 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """The offset index of the files at path, from reading them back."""
     with settings(spark, {ARROW_ROWS: "1"}):
         one = written(read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "token-index")
+    return started(one)
+
+
+def started(records: DataFrame) -> DataFrame:
+    """records (file, doc_id, offset, n_bytes, n_tokens, ids_crc32) with start, the ids of all records before: in order of the two numbers in a file's name, and of offset within one."""
+    numbers = [F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", i).cast("long").alias(n) for i, n in ((1, "part"), (2, "number"))]
+    files = records.groupBy("file", *numbers).agg(F.sum("n_tokens").alias("n"))
+
+    def before(of: Window) -> Column:
+        return F.coalesce(F.sum("n").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = files.groupBy("part").agg(F.sum("n").alias("n"))  # a row for some gigabytes of text
+    parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
+    files = files.withColumn("in_part", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part")
+    files = files.select("file", (F.col("part_start") + F.col("in_part")).alias("file_start"))
     within = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    files = one.groupBy("file").agg(F.sum("n_tokens").alias("n_file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n_file").over(before), F.lit(0)).alias("file_start"))
-    started = one.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file")
-    return started.select("file", "doc_id", "offset", "n_bytes", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    found = records.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file")
+    return found.select("file", "doc_id", "offset", "n_bytes", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
