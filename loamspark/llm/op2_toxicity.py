@@ -10,12 +10,12 @@ with the logistic loss, one per bag of the sample, in parallel; the score is the
 below zero, its gradient is followed backwards, as the estimator asks. The class prior is the share of toxic rows among the labels that
 may be learnt from.
 
-Bounds (parameters): at most ``max_positive`` positives and ``max_unlabelled`` unlabelled texts are learnt from, in order of a seeded hash of
-their ids; at most ``max_features`` features are kept. Scoring covers every whole text, of any length; words of any length are features.
+Bounds (parameters): at most ``max_positive`` positives and ``max_unlabelled`` unlabelled texts are learnt from, rows in order of a seeded hash of
+their ids and of a digest of their texts, however many rows an id has; at most ``max_features`` features are kept. Scoring covers every whole text, of any length; words of any length are features.
 
 Defined results: null and empty texts have no feature and get the score of the intercept; with no positives to learn from, every score is 0;
-labels that are null, or of ids that are not in the documents, teach nothing; repeated rows are scored each; ties of the draw go to the smaller
-id; an empty table gives no rows; extra columns are not read, and the score's column must have a name of its own.
+labels that are null, or of ids that are not in the documents, teach nothing; repeated rows are scored each and teach once, and different texts of one id
+are texts each; ties of the draw go to the smaller id; an empty table gives no rows; extra columns are not read, and the score's column must have a name of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, doc_text, seeded_draw, small_batches, table
+from .common import crc32_mod, doc_text, seeded_draw, small_batches, table, text_digest
 
 BREAK = re.compile(r"[\W\d_]+")
 GRAMS = (4, 5)
@@ -85,11 +85,13 @@ def present(finder, text: str) -> np.ndarray:
 def sample(texts: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, seed: int) -> DataFrame:
     """doc_id, positive (1 or 0), text. texts has doc_id, text; labels has doc_id, toxic. A row is drawn by a hash of its id."""
     draw = seeded_draw(seed, F.col("doc_id"))
-    confirmed = labels.where("toxic = 1").select("doc_id").distinct().orderBy(draw, "doc_id").limit(max_positive)
-    drawn = texts.select("doc_id").distinct().orderBy(draw, "doc_id").limit(max_unlabelled)
-    # both lists are bounded by parameters
-    rows = confirmed.withColumn("positive", F.lit(1)).unionByName(drawn.withColumn("positive", F.lit(0)))
-    return texts.join(F.broadcast(rows), "doc_id").select("doc_id", "positive", "text")
+    kinds = ((1, max_positive, labels.where("toxic = 1")), (0, max_unlabelled, texts))
+    # the first rows in order of draw are of the first ids in order of draw, so the bounds bound both lists
+    ids = [k.select("doc_id").distinct().orderBy(draw, "doc_id").limit(n).withColumn("positive", F.lit(p)) for p, n, k in kinds]
+    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("doc_id", "positive", "text", text_digest().alias("digest"))
+    key = ["doc_id", "positive", "digest"]
+    first = [rows.where(F.col("positive") == p).select(*key).distinct().orderBy(draw, "doc_id", "digest").limit(n) for p, n, _ in kinds]
+    return rows.join(F.broadcast(first[0].unionByName(first[1])), key).dropDuplicates(key).select("doc_id", "positive", "text")
 
 
 def choose(rows: DataFrame, n1: int, n0: int, prior: float, max_features: int, least_z: float) -> list[str]:
