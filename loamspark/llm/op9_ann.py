@@ -10,8 +10,12 @@ products per subspace is looked up by the codes of the block, the ``rerank`` bes
 of the blocks are merged. Equal vectors of a block are one entry with its ids in order, so large groups of copies neither fill the candidates
 nor lose the smallest ids.
 
+Codes are of vectors divided by a power of two near the sample's median length, and queries are looked up at length one, so no value of theirs leaves the range
+of single precision. A row more than ``LARGE`` times as long as the median takes no part in the fit, has no code that means anything, and is scored exactly
+for every query: its products are among the largest or the smallest there are. So some huge vectors cost nobody's recall.
+
 Defined results: vectors that are null, zero, of another width than most, or hold null or non-finite numbers take no part, and a query of
-that kind returns nothing; ties go to the smaller vec_id; an empty table gives no rows; rows with equal ids are candidates each; a query's
+that kind returns nothing; products beyond double precision are infinite, and equal so; ties go to the smaller vec_id; an empty table gives no rows; rows with equal ids are candidates each; a query's
 own row is left out by its id; extra columns are not read.
 """
 
@@ -30,12 +34,15 @@ from .common import seeded_draw, table, written
 CENTROIDS = 16
 #: Rows of an index block and of a query block.
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Rows so many times as long as the median are scored for every query.
+LARGE = 16.0
 
 
 @dataclass
 class Codebook:
-    centroids: np.ndarray  # subspaces x 16 x width
+    centroids: np.ndarray  # subspaces x 16 x width, of vectors divided by scale
     eta: float
+    scale: float = 1.0
 
     @property
     def width(self) -> int:
@@ -45,9 +52,16 @@ class Codebook:
         pad = self.centroids.shape[0] * self.width - x.shape[1]
         return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, self.width)
 
+    def large(self, x: np.ndarray) -> np.ndarray:
+        return lengths(x) > LARGE * self.scale
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """x divided by the scale, rows that are too large for codes as zeros."""
+        return np.where(self.large(x)[:, None], 0.0, x) / self.scale
+
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes (rows x subspaces) by coordinate descent on the score-aware loss."""
-        parts = self.split(x.astype(np.float32))
+        parts = self.split(self.scaled(x).astype(np.float32))
         unit = parts / np.maximum(np.linalg.norm(parts, axis=(1, 2), keepdims=True), 1e-30)
         m = parts.shape[1]
         codes = np.zeros((len(x), m), np.uint8)
@@ -67,14 +81,21 @@ class Codebook:
         return codes
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without overflow on the way."""
+    top = np.maximum(np.abs(x).max(1, initial=0.0), np.finfo(np.float64).tiny)
+    return top * np.linalg.norm(x / top[:, None], axis=1)
+
+
 def fit(x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 6, seed: int = 9) -> Codebook:
     """Codebooks from sample vectors (rows x dimensions)."""
     d = x.shape[1]
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     m = -(-d // width)
     rng = np.random.default_rng(seed)
-    book = Codebook(np.zeros((m, CENTROIDS, width)), eta)
-    parts = book.split(x.astype(np.float64))
+    book = Codebook(np.zeros((m, CENTROIDS, width)), eta, float(2.0 ** np.round(np.log2(np.median(lengths(x))))))
+    x = x[~book.large(x)]
+    parts = book.split(book.scaled(x))
     unit = parts / np.maximum(np.linalg.norm(parts, axis=(1, 2), keepdims=True), 1e-30)
     book.centroids = np.stack([parts[rng.choice(len(x), CENTROIDS, replace=len(x) < CENTROIDS), j] for j in range(m)])
     for _ in range(rounds):
@@ -155,14 +176,19 @@ def search_block(book: Codebook, codes: np.ndarray, ids: np.ndarray, x: np.ndarr
     order = np.lexsort((ids, group))
     begins = np.searchsorted(group[order], np.arange(len(first)))
     sizes = np.minimum(np.diff(np.append(begins, len(ids))), k + 1)
-    entries, bytes_ = x[first], packed(codes[first])
+    entries, bytes_, large = x[first], packed(codes[first]), book.large(x[first])
+    always = np.flatnonzero(large)
     out: list[list] = [[], [], []]
-    for lookup, qid, query in zip(tables(book, q), qids, q, strict=True):
+    for lookup, qid, query in zip(tables(book, q / lengths(q)[:, None]), qids, q, strict=True):
         rough = np.zeros(len(first), np.float32)
         for table_, row in zip(lookup, bytes_, strict=True):
             rough += table_[row]
-        near = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
-        exact = (entries[near] * query).sum(1)
+        near = np.arange(len(rough))
+        if len(rough) - len(always) > rerank:
+            rough[large] = -np.inf
+            near = np.append(np.argpartition(-rough, rerank)[:rerank], always)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (entries[near] * query).sum(1)
         n = sizes[near]
         at = np.repeat(begins[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
         found, score = ids[order[at]], np.repeat(exact, n)
