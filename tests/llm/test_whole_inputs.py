@@ -20,7 +20,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "labels"):
+    for name in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return con
 
@@ -119,12 +119,12 @@ def test_settings_are_as_before(spark, tmp_path):
 
 
 def test_files_are_bounded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(op10_token_files, "FILE_ROWS", 3)
-    docs = spark.createDataFrame([(None, "same text")] * 20 + [(5, f"t {i}") for i in range(10)] + [(6, "end")], "doc_id long, text string")
+    monkeypatch.setattr(op10_token_files, "FILE_BYTES", 110)
+    docs = spark.createDataFrame([(None, "same text")] * 20 + [(5, f"t {i}") for i in range(10)] + [(6, "end " * 100)], "doc_id long, text string")
     op10_token_files.write(docs, f"file://{tmp_path}/f", default_vocabulary())
     got = op10_token_files.index(spark, f"file://{tmp_path}/f")
-    files = got.groupBy("file").count().collect()
-    assert len(files) >= 11 and max(r["count"] for r in files) == 3
+    files = got.groupBy("file").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).collect()
+    assert len(files) >= 11 and all(r["size"] <= 110 or r["n"] == 1 for r in files)
     found = got.orderBy("start").collect()
     assert [r["doc_id"] for r in found] == [None] * 20 + [5] * 10 + [6]
     assert [r["start"] for r in found] == list(np.cumsum([0, *[r["n_tokens"] for r in found]])[:-1])
