@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -48,67 +49,72 @@ def contained(texts: DataFrame, passages: DataFrame, text: str, passage: str) ->
     return out if out is not None else texts.join(passages, F.lit(False))
 
 
-HEADING = re.compile(r"^(={2,6})\s*(.+?)\s*\1\s*$")
-#: Where a text is split that does not fit, from coarse to fine, and what joins its parts again.
-LEVELS = ((re.compile(r"\n\n+"), "\n\n"), (re.compile(r"(?<=[.!?])\s+"), " "), (re.compile(r"\s+"), " "))
+#: A heading of a page's text: as many bars, two to six, on both sides.
+HEADING = r"^(={2,6})\s*(.+?)\s*\1\s*$"
+LEVELS = range(2, 7)
+#: What parts a text that is too long, from coarse to fine, and what joins its units again.
+BREAKS = ((re.compile(r"\n{2,}"), "\n\n"), (re.compile(r"(?<=[.!?])\s+"), " "), (re.compile(r"\s+"), " "))
 
 
-def sections(title: str, text: str) -> list[tuple[str, str]]:
-    """(breadcrumb, body) of the sections of a page under its == headings ==; those without text are left out."""
-    crumbs, held, out = [title], [], []
+def sections(pages: DataFrame, key: str, title: str, text: str) -> DataFrame:
+    """key, page, section, breadcrumb, body: the parts of each page's text under its headings, those without text left out. page tells rows of equal keys apart.
 
-    def flush() -> None:
-        body = "\n".join(held).strip()
-        if body:
-            out.append((" > ".join(crumbs), body))
-        held.clear()
-
-    for line in text.split("\n"):
-        heading = HEADING.match(line)
-        if heading:
-            flush()
-            level = len(heading[1])
-            crumbs[level - 1 :] = [heading[2]]
-        else:
-            held.append(line)
-    flush()
+    The way to a heading is, for every level above its own, the last heading of that level since one of a higher level; levels that were jumped over are empty.
+    """
+    rows = pages.select(key, F.monotonically_increasing_id().alias("page"), F.coalesce(title, F.lit("")).alias("title"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    lines = rows.select(key, "page", "title", F.posexplode("lines").alias("at", "line"))
+    level = F.length(F.regexp_extract("line", HEADING, 1))
+    lines = lines.withColumn("level", level).withColumn("section", F.count_if(F.col("level") > 0).over(Window.partitionBy("page").orderBy("at")))
+    parts = lines.groupBy(key, "page", "title", "section").agg(
+        F.max("level").alias("level"),
+        F.max(F.when(F.col("level") > 0, F.regexp_extract("line", HEADING, 2))).alias("heading"),
+        F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line")))).alias("lines"),
+    )
+    crumbs = [F.col("title")]
+    for n in LEVELS:
+        since = F.count_if((F.col("level") > 0) & (F.col("level") < n)).over(Window.partitionBy("page").orderBy("section"))
+        last = F.last(F.when(F.col("level") == n, F.col("heading")), ignorenulls=True).over(Window.partitionBy("page", f"_{n}").orderBy("section"))
+        parts = parts.withColumn(f"_{n}", since).withColumn(f"way_{n}", last)
+        crumbs.append(F.when(F.col("level") >= n, F.coalesce(f"way_{n}", F.lit(""))))
+    body = fn.trimmed(F.array_join("lines.line", "\n"))
+    return parts.select(key, "page", "section", F.concat_ws(" > ", *crumbs).alias("breadcrumb"), body.alias("body")).where("body <> ''")
+
+
+def packed(text: str, tokens: int) -> list[str]:
+    """Pieces of at most so many tokens, each four UTF-16 units: as many paragraphs as fit, in turn. A longer unit is parted at its sentences, a longer sentence at its blanks; a longer word stays whole."""
+    limit, out, waiting = 4 * tokens, [], [(text, 0)]
+    while waiting:
+        text, depth = waiting.pop()
+        if _units(text) <= limit or depth == len(BREAKS):
+            out.append(text)
+            continue
+        pattern, joint = BREAKS[depth]
+        parts = [p for p in pattern.split(text) if p.strip()]
+        if len(parts) < 2:
+            waiting.append((text, depth + 1))
+            continue
+        # where each part would end if all stood in a row, each with a joint behind it
+        ends = list(accumulate((_units(p) + len(joint) for p in parts), initial=0))
+        found, at = [], 0
+        while at < len(parts):
+            to = bisect_right(ends, ends[at] + limit + len(joint)) - 1
+            found.append((joint.join(parts[at:to]), len(BREAKS)) if to > at else (parts[at], depth + 1))
+            at = max(to, at + 1)
+        waiting += reversed(found)
     return out
 
 
-def packed(text: str, tokens: int, level: int = 0) -> list[str]:
-    """Pieces of at most so many tokens (a quarter of the UTF-16 units), greedily filled from paragraphs, then sentences, then words; a longer word stays whole."""
-    fits = lambda t: -(-(len(t) + sum(c > "￿" for c in t)) // 4) <= tokens
-    if fits(text) or level == len(LEVELS):
-        return [text]
-    pattern, joiner = LEVELS[level]
-    units = [u for u in pattern.split(text) if u.strip()]
-    if len(units) <= 1:
-        return packed(text, tokens, level + 1)
-    out, held = [], ""
-    for unit in units:
-        both = f"{held}{joiner}{unit}" if held else unit
-        if fits(both):
-            held = both
-            continue
-        if held:
-            out.append(held)
-        if fits(unit):
-            held = unit
-        else:
-            out += packed(unit, tokens, level + 1)
-            held = ""
-    return out + ([held] if held else [])
+def _units(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le")) // 2
 
 
 def chunked(pages: DataFrame, key: str, title: str, text: str, tokens: int = 400) -> DataFrame:
     """key, index, breadcrumb, text: the chunks of each page's plain text, section by section."""
 
-    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, name, body in zip(frame[key], frame[title], frame[text], strict=True):
-                found = [(crumb, piece.strip()) for crumb, part in sections(name or "", body or "") for piece in packed(part, tokens)]
-                rows = [(k, i, crumb, piece) for i, (crumb, piece) in enumerate(x for x in found if x[1])]
-                yield pd.DataFrame(rows, columns=[key, "index", "breadcrumb", "text"])
+    def pieces(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[p for p in map(str.strip, packed(body, tokens)) if p] for body in bodies])
 
-    schema = pages.select(key, F.lit(0).alias("index"), F.lit("").alias("breadcrumb"), F.lit("").alias("text")).schema
-    return pages.select(key, title, text).mapInPandas(chunks, schema)
+    parts = sections(pages, key, title, text)
+    found = parts.select(key, "page", "section", "breadcrumb", F.posexplode(F.pandas_udf(pieces, "array<string>")("body")).alias("piece", "text"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("section", "piece")) - 1
+    return found.select(key, place.alias("index"), "breadcrumb", "text")

@@ -169,8 +169,11 @@ QUERIES["turn_facts"] = lambda spark, d: diffs.fact_rows(turn_pairs(spark, d), [
 
 
 def turn_prose(spark, d):
-    rows = turn_pairs(spark, d).select("conv_id", "turn", diffs.prose_diff(F.col("before"), F.concat("before", F.lit("\n\n## New\n\n"), "text")).alias("rows"))
-    return rows.select("conv_id", "turn", diffs.regions(F.col("rows")).alias("regions"), F.to_json("rows").alias("rows"))
+    pairs = turn_pairs(spark, d).select("conv_id", "turn", "before", F.concat("before", F.lit("\n\n## New\n\n"), "text").alias("after"))
+    key = ["conv_id", "turn"]
+    rows = diffs.prose_diff(pairs, key, "before", "after")
+    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", *rows.columns[3:]))).alias("rows"))
+    return diffs.regions(rows, key).join(listed, key).select(*key, "regions", F.to_json("rows").alias("rows"))
 
 
 QUERIES["turn_prose"] = turn_prose

@@ -1,5 +1,7 @@
 """Text functions on literal rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,7 +139,7 @@ def test_chunks(spark):
     page = "lead\n== A ==\n" + "One two three. " * 6 + "\n=== B ===\nbody\n== C ==\n\n==== D ====\n" + "w" * 50
     got = passages.chunked(spark.createDataFrame([(1, "T", page), (2, None, None)], "id int, t string, x string"), "id", "t", "x", 10).collect()
     assert [r["index"] for r in got] == list(range(len(got)))
-    assert [(r["breadcrumb"], r["text"]) for r in got] == [("T", "lead"), *[("T > A", "One two three. One two three.")] * 3, ("T > A > B", "body"), ("T > C > D", "w" * 50)]
+    assert [(r["breadcrumb"], r["text"]) for r in got] == [("T", "lead"), *[("T > A", "One two three. One two three.")] * 3, ("T > A > B", "body"), ("T > C >  > D", "w" * 50)]
 
 
 def test_passages(spark):
@@ -185,4 +187,18 @@ def test_entry_paths_and_entities(spark):
 
 def test_markdown_as_wikitext(spark):
     text = "---\nt: x\n---\n# Title\n## Sub **b**\n- item [[A|b]]\n| a | b |\n|---|---|\n> q\n```\n# raw\n```\n***\n\n\nend"
-    assert value(spark, connectors.as_wikitext(F.lit(text), F.lit("Title"))) == "== Sub b ==\nitem b\na - b\nq\n# raw\n\nend"
+    assert value(spark, connectors.as_wikitext(F.lit(text), F.lit("Title"))) == "== Sub b ==\nitem [[A|b]]\na - b\nq\n# raw\n\nend"
+    text = "# T *x*\n# T\n![p](q)a [l](u) `c` ***z***\n1. one\n# T\n~~~\n| r |"
+    assert value(spark, connectors.as_wikitext(F.lit(text), F.lit("T"))) == "== T x ==\na l c z\none\n== T ==\n| r |"
+
+
+def test_long_runs_of_blanks(spark):
+    """Trims take time in proportion: a million blanks within a text and at its ends."""
+    blanks = " " * 1_000_000
+    text = spark.createDataFrame([(f"{blanks}a{blanks}b. C \n{blanks}",)], "t string").repartition(1).persist()
+    text.count()
+    for f in (fn.trimmed, fn.excerpt, fn.trimmed_excerpt, fn.one_line, fn.sentences, fn.plain_html, fn.preview, fn.section_summary, fn.wikitext, lambda x: connectors.as_wikitext(x, F.lit("T"))):
+        began = time.time()
+        text.select(F.md5(f(F.col("t")).cast("string"))).collect()
+        assert time.time() - began < 20
+    assert value(spark, fn.trimmed(F.lit("\ufeff\u2003\u00a0a\u3000 b\x0b\u2029"))) == "a\u3000 b"
