@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates
@@ -57,16 +57,24 @@ def type_from_path(path: Column) -> Column:
     return F.when(has("locations", "places"), "place").when(has("factions", "organisations"), "faction").when(has("items"), "item").when(has("events", "sessions"), "event").otherwise("character")
 
 
+def without_front(markdown: Column) -> Column:
+    """Markdown without the block between dashes that it may begin with."""
+    return F.regexp_replace(markdown, r"^---[\s\S]*?\n---[^\n]*(?:\n|\z)", "")
+
+
 def free_texts(documents: DataFrame) -> DataFrame:
-    """path, type, name, summary of plain documents (path, content): the first heading or the file's stem, and the first line of prose. Blank documents are left out."""
-    body = F.regexp_replace("content", r"^---\n[\s\S]*?\n---\n", "")
-    rows = documents.withColumn("_lines", F.filter(F.transform(F.split(body, "\n"), fn.trimmed), lambda x: x != "")).where(F.size("_lines") > 0)
-    heading = F.get(F.filter("_lines", lambda x: x.startswith("#")), 0)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z][A-Za-z0-9]{0,7}$", "")
-    rows = rows.withColumn("name", F.when(heading.isNotNull(), fn.trimmed(F.regexp_replace(heading, r"^#+\s*", ""))).otherwise(stem))
-    prose = F.get(F.filter("_lines", lambda x: ~x.startswith("#") & ~x.startswith("![[") & ~x.rlike("^[A-Za-z ]+::")), 0)
-    summary = F.when(prose.isNotNull(), F.regexp_replace(prose, r"\[\[([^\]|]+)(\|[^\]]+)?\]\]", "$1")).otherwise(F.concat("name", F.lit(", from "), "path", F.lit(".")))
-    return rows.select("path", type_from_path(F.col("path")).alias("type"), "name", summary.alias("summary"))
+    """path, type, name, summary of plain documents (path, content): the first heading or the file's stem, and the first line of prose. Blank documents are left out.
+
+    Prose is a line that is neither a heading nor an embedded file nor a field (words and two colons).
+    """
+    rows = documents.withColumn("_body", without_front(F.col("content"))).where(fn.trimmed(F.col("_body")) != "")
+    first = lambda pattern: F.nullif(fn.trimmed(F.regexp_extract("_body", f"(?dm)^{fn.BLANK}*{pattern}", 1)), F.lit(""))
+    parts = F.split("path", "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[A-Za-z][A-Za-z0-9]{0,7}$", "")
+    rows = rows.withColumn("name", F.when(F.regexp_like("_body", F.lit(f"(?dm)^{fn.BLANK}*#")), F.coalesce(first("#+([^\n]*)$"), F.lit(""))).otherwise(stem))
+    prose = first(rf"(?!{fn.BLANK}|#|!\[\[|[A-Za-z ]+::)([^\n]+)$")
+    said = F.regexp_replace(prose, r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1")
+    return rows.select("path", type_from_path(F.col("path")).alias("type"), "name", F.coalesce(said, F.concat("name", F.lit(", from "), "path", F.lit("."))).alias("summary"))
 
 
 FRONT = ("name", "type", "aliases", "slug", "visibility", "created_at", "updated_at")
@@ -79,12 +87,6 @@ def entry_markdown(rows: DataFrame) -> DataFrame:
     return rows.select("slug", F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), "body").alias("text"))
 
 
-def export(rows: DataFrame, path: str) -> int:
-    """Write a universe: one markdown row of text per entity under its slug's folder, and the count, which a README gives. Returns the count."""
-    entry_markdown(rows).write.option("lineSep", "\n\0\n").partitionBy("slug").text(path)
-    return rows.count()
-
-
 def parsed_markdown(files: DataFrame, text: str = "text") -> DataFrame:
     """files with FRONT, body and error: exported markdown read back. A text without a closed front, or a line in it that is no 'key: JSON', is an error."""
     close = F.call_function("locate", F.lit("\n---\n\n"), F.col(text))
@@ -98,32 +100,51 @@ def parsed_markdown(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vault(documents: DataFrame, excluded: tuple[str, ...] = (".obsidian", ".trash", ".git")) -> DataFrame:
-    """title, path, text, stamp of markdown files (path, content) outside excluded folders: as wikitext, titles that are there twice with their path, and a stamp from the content's hash."""
+    """title, path, text, updated_at of the notes (markdown files: path, content) outside excluded folders, as wikitext; empty notes are left out.
+
+    A title is the first top heading of a note, else its file's name; of equal titles the first by path stays and the others carry their path. The time
+    depends on the text alone, so a note is new when its text is.
+    """
     inside = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded)))
-    rows = documents.where(F.lower("path").endswith(".md") & ~inside)
-    title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.md$", "")
-    rows = rows.withColumn("title", title)
-    twice = rows.groupBy("title").count().where("count > 1").select("title", F.lit(True).alias("_twice"))
-    named = rows.join(twice, "title", "left").withColumn("title", F.when(F.col("_twice"), F.concat("title", F.lit(" ("), "path", F.lit(")"))).otherwise(F.col("title")))
-    return named.select("title", "path", as_wikitext(F.col("content"), title).alias("text"), F.substring(F.sha2("content", 256), 1, 16).alias("stamp"))
+    notes = documents.where(F.lower("path").endswith(".md") & ~inside)
+    heading = F.regexp_extract("content", r"(?dm)^#[^\S\n]+(\S[^\n]*)$", 1)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    notes = notes.withColumn("title", F.when(heading != "", F.rtrim(heading, F.lit(fn.BLANKS))).otherwise(stem))
+    notes = notes.select("title", "path", as_wikitext(F.col("content"), F.col("title")).alias("text")).where("text <> ''")
+    again = F.row_number().over(Window.partitionBy("title").orderBy("path")) > 1
+    title = F.when(again, F.concat("title", F.lit(" ("), "path", F.lit(")"))).otherwise(F.col("title"))
+    seconds = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long") % 1_000_000_000
+    return notes.select(title.alias("title"), "path", "text", F.timestamp_seconds(seconds).alias("updated_at"))
+
+
+#: Marks a top heading until it is known whether it repeats the title.
+_TOP = "\x01"
 
 
 def as_wikitext(markdown: Column, title: Column) -> Column:
-    """Markdown as wikitext, line by line: headings (the title's own left out), tables as dashes between cells, no quote, list or rule marks, no fence lines; lines inside fences stay."""
-    lines = F.split(F.regexp_replace(markdown, r"^---\n[\s\S]*?\n---\n", ""), "\n")
-    inline = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1"), r"\[\[([^\]|]+)\|([^\]]*)\]\]", "$2"), r"\*\*|__|~~|`+", "")
-    cells = lambda x: F.array_join(F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(x, r"^\s*\|", ""), r"\|\s*$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != ""), " - ")
-    is_fence = lambda x: x.rlike(r"^\s*(```|~~~)")
-
-    def one(x: Column) -> Column:
-        marks, said = F.regexp_extract(x, r"^(#{1,6})\s+(.+?)\s*$", 1), inline(F.regexp_extract(x, r"^(#{1,6})\s+(.+?)\s*$", 2))
-        bars = F.repeat(F.lit("="), F.greatest(F.lit(2), F.length(marks)))
-        row = F.when(x.rlike(r"^\s*\|"), cells(x)).otherwise(x)
-        for mark in (r"^\s*>\s?", r"^\s*(?:[-*+]|\d+\.)\s+", r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"):
-            row = F.regexp_replace(row, mark, "")
-        return F.when((marks == "#") & (said == title), None).when(marks != "", F.concat(bars, F.lit(" "), said, F.lit(" "), bars)).when(x.rlike(r"^\s*\|[\s|:-]*\|?\s*$"), None).otherwise(inline(row))
-
-    # whether a line is inside a fence: an odd number of fence lines before it
-    before = lambda i: F.pmod(F.size(F.filter(F.slice(lines, F.lit(1), i), is_fence)), F.lit(2)) == 1
-    out = F.transform(lines, lambda x, i: F.when(is_fence(x), None).when(before(i), x).otherwise(one(x)))
-    return fn.trimmed(F.regexp_replace(F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n"), r"\n{3,}", "\n\n"))
+    """Markdown as wikitext. Lines between fences stay as they are and the fences go; elsewhere headings get bars, table rows become their cells between dashes, marks of
+    quotes, lists and rules go, images go, links and emphasis leave their words. The first top heading that is the title is left out. Links between double brackets stay."""
+
+    def spoken(x: Column) -> Column:
+        """A text without what is not read out."""
+        x = F.regexp_replace(F.regexp_replace(x, r"!\[[^\]\n]*\]\([^)\n]*\)", ""), r"(?<!\[)\[([^\[\]\n]+)\]\([^)\n]*\)", "$1")
+        return F.regexp_replace(F.regexp_replace(x, r"(?<!\*)(\*{1,3})([^*\n]+)\1(?!\*)", "$2"), "`([^`\n]+)`", "$1")
+
+    def line(x: Column) -> Column:
+        level, said = F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1)), fn.trimmed(F.regexp_replace(x, "^#+", ""))
+        bars = F.repeat(F.lit("="), F.greatest(level, F.lit(2)))
+        heading = F.concat(F.when(level == 1, _TOP).otherwise(""), bars, F.lit(" "), said, F.lit(" "), bars)
+        cells = F.filter(F.transform(F.split(x, r"\|"), fn.trimmed), lambda c: c != "")
+        return F.when((level > 0) & (said != ""), heading).when(x.rlike(r"^\s*\|"), F.array_join(cells, " - ")).otherwise(x)
+
+    def open_part(x: Column) -> Column:
+        """The lines between two fenced blocks."""
+        x = fn.by_line(F.regexp_replace(x, r"(?dm)^[^\S\n]*\|[ \t|:-]*(?:\n|\z)", ""), line)  # without the line under a table's head
+        for mark in (r"[^\S\n]*>[^\S\n]?", r"[^\S\n]*(?:[-*+]|\d+\.)[^\S\n]+", r"[^\S\n]*(?:-{3,}|\*{3,}|_{3,})[^\S\n]*$"):
+            x = F.regexp_replace(x, f"(?dm)^{mark}", "")
+        return spoken(x)
+
+    parts = F.split(without_front(F.regexp_replace(markdown, _TOP, "")), r"(?dm)^[^\S\n]*(?:```|~~~)[^\n]*(?:\n|\z)")
+    whole = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, open_part(x)).otherwise(x)), "")
+    around = F.split(whole, F.concat(F.lit(f"(?dm)^{_TOP}== "), fn.quoted(title), F.lit(" ==$\n?")), 2)
+    return fn.trimmed(F.regexp_replace(F.regexp_replace(F.array_join(around, ""), _TOP, ""), r"\n{3,}", "\n\n"))
