@@ -19,9 +19,10 @@ def page_window(total: Column, page: int, size: int) -> tuple[Column, Column]:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 25) -> DataFrame:
-    """One page of rows with the total: sorted by top-k, so only a page's prefix of rows is gathered."""
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
+    """One page of rows with the total: sorted by top-k, so only a page's prefix of rows is gathered. Numbers beyond the ends get the first or the last page; the count is a job of its own."""
+    total = rows.count()
+    number = min(max(number, 1), max(1, -(-total // size)))
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", F.lit(total).cast("long"))
 
 
 def ranked_aliases(rows: DataFrame, name: str, aliases: str, term: str, limit: int = 8, key: str | None = None) -> DataFrame:

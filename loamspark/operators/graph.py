@@ -11,21 +11,31 @@ from ..sources import kept
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """node, to, label: each edge (source, target, label) from both ends."""
-    return edges.select(F.col("source").alias("node"), F.col("target").alias("to"), "label").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("to"), "label"))
+    """node, to, relation, label: each edge (relation, source, target, label, inverse) from both ends, with the label that reads that way."""
+    there = edges.select(F.col("source").alias("node"), F.col("target").alias("to"), "relation", "label")
+    return there.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("to"), "relation", F.col("inverse").alias("label")))
+
+
+def touching(edges: DataFrame) -> DataFrame:
+    """node, n: how many edges (source, target) touch each node, from either end; an edge from a node to itself touches it once."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("n"))
 
 
 def ring(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
-    """node, depth: the nearest distance of each node within ``depth`` steps of the start nodes, themselves left out.
+    """node, depth, relation, via, label: the nodes within ``depth`` steps of the start nodes (themselves left out), how near they are, and the edge and node that they are reached by first.
 
-    A step joins the frontier alone, reduced to distinct new nodes, so a walk never revisits.
+    Of equally near ways the one with the least relation, then the least node, stays; label reads from via to node. edges has relation, source, target, label, inverse. A
+    step joins the frontier alone, one row for each new node, so a walk never revisits.
     """
-    links = both_ways(edges).select("node", "to")
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    links = both_ways(edges)
+    way = {"relation": edges.schema["relation"].dataType, "via": edges.schema["source"].dataType, "label": edges.schema["label"].dataType}
+    frontier = start.select("node").distinct().select("node", F.lit(0).alias("depth"), *[F.lit(None).cast(t).alias(n) for n, t in way.items()])
+    seen = frontier
     for d in range(1, depth + 1):
-        step = frontier.join(links, "node").select(F.col("to").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
+        step = frontier.select(F.col("node").alias("via")).join(links.withColumnRenamed("node", "via"), "via").join(seen.select(F.col("node").alias("to")), "to", "left_anti")
+        least = step.groupBy("to").agg(F.min(F.struct("relation", "via", "label")).alias("way"))
+        frontier = least.select(F.col("to").alias("node"), F.lit(d).alias("depth"), "way.*")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 

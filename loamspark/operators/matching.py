@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from . import similarity
 
 # At or above which similarity a candidate is the same entity, and below which none is.
 LEXICAL_BAND, EMBEDDING_BAND = (0.85, 0.5), (0.75, 0.6)
@@ -32,17 +33,18 @@ def narrowed(subjects: DataFrame, candidates: DataFrame, limit: int = 20) -> Dat
 
     subjects has subject, type, words; candidates has candidate, type, words, nth. Where all candidates of a type are within the limit, all are
     taken. Candidates with equal words are one class, of which only the first ``limit`` members can be among the best; subjects and classes meet
-    by their words, and the first ``limit`` candidates of a type fill up places that no common word earns.
+    by rare words, within what their sizes and the best found so far allow (similarity.best_overlaps), and the first ``limit`` candidates of a type fill up
+    places that no common word earns.
     """
     words = F.array_sort("words")
     within = F.row_number().over(Window.partitionBy("type", "class").orderBy("nth"))
     members = candidates.withColumn("class", F.xxhash64(words)).withColumn("_m", within).where(F.col("_m") <= limit).drop("_m")
-    classes = members.groupBy("type", "class").agg(F.first("words").alias("theirs"))
-    asked = subjects.select("type", F.xxhash64(words).alias("asked"), F.col("words").alias("mine")).dropDuplicates(["type", "asked"])
-    met = asked.select("type", "asked", F.explode("mine").alias("word")).join(classes.select("type", "class", F.explode("theirs").alias("word")), ["type", "word"])
-    pairs = met.groupBy("type", "asked", "class").agg(F.count("*").alias("both")).join(asked, ["type", "asked"]).join(classes, ["type", "class"])
-    overlap = F.col("both") / (F.size("mine") + F.size("theirs") - F.col("both"))
-    scored = pairs.select("type", "asked", "class", overlap.alias("overlap")).join(members.select("type", "class", "candidate", "nth"), ["type", "class"]).select("type", "asked", "candidate", "nth", "overlap")
+    classes = members.groupBy("type", "class").agg(F.first("words").alias("tokens"), F.count("*").alias("weight"))
+    asked = subjects.select("type", F.xxhash64(words).alias("asked"), F.col("words").alias("tokens")).dropDuplicates(["type", "asked"])
+    sets = classes.select("type", F.col("class").alias("set"), F.col("class").alias("owner"), "weight", "tokens")
+    near = similarity.best_overlaps(sets, asked.withColumnRenamed("asked", "question"), limit, ["type"])
+    scored = near.select("type", F.col("question").alias("asked"), F.col("set").alias("class"), F.col("score").alias("overlap")).where("overlap > 0")
+    scored = scored.join(members.select("type", "class", "candidate", "nth"), ["type", "class"]).select("type", "asked", "candidate", "nth", "overlap")
     first = F.row_number().over(Window.partitionBy("type").orderBy("nth"))
     fill = candidates.withColumn("_f", first).where(F.col("_f") <= limit).select("type", "candidate", "nth")
     filled = asked.select("type", "asked").join(fill, "type").join(scored.select("type", "asked", "candidate"), ["type", "asked", "candidate"], "left_anti").withColumn("overlap", F.lit(0.0))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import kept
+
 #: Rows of a block of points and of a block of queries.
 POINT_BLOCK, QUERY_BLOCK = 1024, 256
 
@@ -123,6 +125,63 @@ def jaccard_join(rows: DataFrame, key: str, tokens: str, least: float) -> DataFr
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+#: Members of posting lists that a first look at a question scores, for each of the best that are asked for.
+SEEDS = 40
+
+
+def best_overlaps(sets: DataFrame, questions: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:
+    """by, question, set, owner, score: every set that is as much like a question (Jaccard, above 0) as the limit-th best owner of its group, and no others but some below it.
+
+    sets has the columns by, set, owner, weight (how many of the limit an owner takes) and tokens; questions has by, question and tokens. A set is found in two looks:
+
+    1. The posting lists of a question's rarest tokens, about SEEDS entries for each place (more do not change the result), give sets whose scores are worked out; the limit-th best
+       owner among them bounds the question's threshold from below.
+    2. A set of n tokens that reaches the threshold t of a question of m shares t (n + m) / (1 + t) of them at least. So one of the shared tokens is among
+       the rarest of both sides, as many as may be missing and one more: only these meet, and only where the sizes allow it. What the question with the
+       least threshold could not use is not read at all.
+    """
+    by = by or []
+    sized = sets.where(F.size("tokens") > 0)
+    asked = questions.where(F.size("tokens") > 0)
+    # tokens that the other side does not have are missing in any case: they count for sizes, but have no entries
+    vocabulary = asked.select(*by, F.explode("tokens").alias("token")).distinct()
+    entries = sized.select(*by, "set", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(vocabulary, [*by, "token"])
+    counts = kept(entries.groupBy(*by, "token").agg(F.count("*").alias("df")), "token-counts")
+
+    def ranked(rows: DataFrame, key: str, place: str, size: str) -> DataFrame:
+        """rows (by, key, token) with each token's place among those of its key, the rarest first, and their number."""
+        of = Window.partitionBy(*by, key)
+        return rows.join(counts, [*by, "token"]).withColumn(place, F.row_number().over(of.orderBy("df", "token")) - 1).withColumn(size, F.count("*").over(of))
+
+    posted = kept(ranked(entries, "set", "place", "n_met").drop("df"), "postings")
+    wanted = kept(ranked(asked.select(*by, "question", F.size("tokens").alias("m"), F.explode("tokens").alias("token")), "question", "at", "m_met"), "questions")
+
+    def scored(met: DataFrame) -> DataFrame:
+        pairs = met.select(*by, "question", "set").distinct()
+        with_sets = pairs.join(asked.select(*by, "question", F.col("tokens").alias("_q")), [*by, "question"]).join(sized.select(*by, "set", "owner", "weight", "tokens"), [*by, "set"])
+        both = F.size(F.array_intersect("_q", "tokens"))
+        return with_sets.select(*by, "question", "set", "owner", "weight", (both / (F.size("_q") + F.size("tokens") - both)).alias("score"))
+
+    before = F.sum("df").over(Window.partitionBy(*by, "question").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rare = wanted.withColumn("_before", F.coalesce(before, F.lit(0))).where(f"_before + df <= {SEEDS * limit} or _before = 0")
+    first = scored(rare.join(posted, [*by, "token"]))
+    owners = first.groupBy(*by, "question", "owner").agg(F.max("score").alias("score"), F.max("weight").alias("weight"))
+    so_far = F.sum("weight").over(Window.partitionBy(*by, "question").orderBy(F.desc("score")))  # with equals
+    least = owners.withColumn("_n", so_far).where(F.col("_n") >= limit).groupBy(*by, "question").agg(F.max("score").alias("least"))
+
+    bound = kept(wanted.join(least, [*by, "question"], "left").select(*by, "question", "m", "m_met", "token", "at", F.coalesce("least", F.lit(0.0)).alias("t")), "bounds")
+
+    def shared(t: Column, n: Column, m: Column) -> Column:
+        """How many tokens two sets of n and m share at least, if their similarity is t."""
+        return F.greatest(F.lit(1), F.ceil(t * (n + m) / (1 + t) - 1e-9))
+
+    lowest = bound.agg(F.min("t").alias("t_min"), F.min("m").alias("m_min"))  # one row
+    n, m, t = F.col("n"), F.col("m"), F.col("t")
+    useful = posted.join(F.broadcast(lowest), F.col("place") <= F.col("n_met") - shared(F.col("t_min"), n, F.col("m_min"))).drop("t_min", "m_min")
+    fits = (F.col("place") <= F.col("n_met") - shared(t, n, m)) & (F.col("at") <= F.col("m_met") - shared(t, n, m)) & (n >= t * m - 1e-9) & (m >= t * n - 1e-9)
+    return scored(useful.join(bound, [*by, "token"]).where(fits)).drop("weight")
+
+
 def pair_cells(queries: DataFrame, points: DataFrame) -> DataFrame:
     """cell, same, n: how many pairs of a query and another point have a cosine (0 at least) in each twentieth, by whether their labels are equal."""
 

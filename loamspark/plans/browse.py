@@ -24,6 +24,10 @@ QUERIES["part_counts"] = part_counts
 SQL["part_counts"] = "select p_partkey, p_name, p_type, count(l_partkey) as uses, count(distinct l_suppkey) as suppliers from part left join lineitem on l_partkey = p_partkey group by 1, 2, 3"
 QUERIES["part_page"] = lambda spark, d: op.page(part_counts(spark, d), [F.desc("uses"), F.lower("p_name"), F.col("p_partkey")], 2)
 SQL["part_page"] = f"select *, (select count(*) from part) as total from ({SQL['part_counts']}) order by uses desc, lower(p_name), p_partkey limit 25 offset 25"
+QUERIES["part_last_page"] = lambda spark, d: op.page(part_counts(spark, d), [F.desc("uses"), F.lower("p_name"), F.col("p_partkey")], 1_000_000)
+SQL["part_last_page"] = f"""
+with p as (select *, row_number() over (order by uses desc, lower(p_name), p_partkey) - 1 as nth, count(*) over () as total from ({SQL['part_counts']}))
+select * exclude (nth) from p where nth // 25 = (total - 1) // 25"""
 QUERIES["part_page_window"] = lambda spark, d: table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("total")).select("p_brand", "total", *[c.alias(n) for c, n in zip(op.page_window(F.col("total"), 3, 25), ("pages", "page"), strict=True)])
 SQL["part_page_window"] = "select p_brand, count(*) as total, greatest(1, ceil(count(*) / 25.0))::int as pages, least(3, greatest(1, ceil(count(*) / 25.0)))::int as page from part group by 1"
 QUERIES["region_ordinal"] = lambda spark, d: table(spark, d, "region").select("r_regionkey", "r_name", op.ordinal("r_name", ORDER).alias("ordinal"))
@@ -46,17 +50,34 @@ QUERIES["active_users"] = lambda spark, d: table(spark, d, "events").select("use
 SQL["active_users"] = "select user_id from events union select o_custkey from orders"
 
 
+def nation_trade(spark, d):
+    """How many lines touch each nation, as the customer's or the supplier's."""
+    by = lambda name, key, nation: table(spark, d, name).select(F.col(key).alias(key), F.col(nation).alias(nation))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(by("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(by("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target"))
+    return graph.touching(edges)
+
+
+QUERIES["nation_trade"] = nation_trade
+SQL["nation_trade"] = """
+with e as (select c_nationkey as source, s_nationkey as target from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)
+select n_nationkey as node, count(*) as n from nation join e on source = n_nationkey or target = n_nationkey group by 1"""
+
+
 def _edges(spark, d):
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("line").alias("label"))
-    return lines.unionByName(table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"), F.lit("order")).toDF("source", "target", "label"))
+    lines = table(spark, d, "lineitem").select(F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("relation"), F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("has part").alias("label"), F.lit("is part of").alias("inverse"))
+    orders = table(spark, d, "orders").select(F.concat(F.lit("r-"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"), F.lit("placed"), F.lit("placed by"))
+    return lines.unionByName(orders.toDF(*lines.columns))
 
 
 QUERIES["graph_ring"] = lambda spark, d: graph.ring(_edges(spark, d), spark.createDataFrame([("c7",)], "node string"), 3)
 SQL["graph_ring"] = """
-with recursive e as (select 'o' || l_orderkey as source, 'p' || l_partkey as target from lineitem union all select 'c' || o_custkey, 'o' || o_orderkey from orders),
-b as (select distinct source as node, target as next from e union select distinct target, source from e),
-w(node, depth) as (select 'c7', 0 union select b.next, depth + 1 from w join b on b.node = w.node where depth < 3)
-select node, min(depth)::int as depth from w where node <> 'c7' group by node"""
+with recursive e as (select 'l-' || l_orderkey || '-' || l_linenumber as relation, 'o' || l_orderkey as source, 'p' || l_partkey as target, 'has part' as label, 'is part of' as inverse from lineitem
+  union all select 'r-' || o_orderkey, 'c' || o_custkey, 'o' || o_orderkey, 'placed', 'placed by' from orders),
+b as (select source as node, target as next, relation, label from e union all select target, source, relation, inverse from e),
+w(node, depth, relation, via, label) as (select 'c7', 0, null::varchar, null::varchar, null::varchar union select b.next, depth + 1, b.relation, w.node, b.label from w join b on b.node = w.node where depth < 3)
+select node, depth::int as depth, relation, via, label from w where node <> 'c7' qualify row_number() over (partition by node order by depth, relation, via) = 1"""
 
 
 def tree(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import candidates as op
 from ..operators import diffs, matching, mentions, retrieval, similarity
-from ..sources import table
+from ..sources import spread, table
 from .predicates import _E, edges, events
 
 QUERIES, SQL = {}, {}
@@ -105,7 +105,7 @@ QUERIES["audit_pairs"] = lambda spark, d: op.audit_pairs(edited(spark, d), entit
 
 def own_canon(spark, d):
     """For each benchmark passage the documents whose best sentence shares most content words with it."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity"), F.col("text").alias("body"))
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("entity"), F.col("text").alias("body")))
     return op.own_canon(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text"), "en").select("question", "entity", "rank", F.round("score", 6).alias("score"), F.md5("statement").alias("statement"))
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan dealt to as many tasks as run at once, where it has fewer (a small table in one file, say) and much is done with each row; larger scans stay as they are."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the session's shared checkpoint folder and read it again. Only a local master (as in tests) may have none: one is made for it."""
     root = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -1,6 +1,7 @@
 """Literal rows with nulls, ties and empty tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,9 +40,24 @@ def test_ledger(spark):
 
 
 def test_ring_takes_the_nearest_depth(spark):
-    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("a", "c", "x"), ("c", "d", "x")], "source string, target string, label string")
-    got = graph.ring(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()
-    assert sorted(map(tuple, got)) == [("b", 1), ("c", 1), ("d", 2)]
+    """Of equally near ways the least relation; labels read from the node that the way comes from."""
+    edges = [("4", "a", "b", "x", "-x"), ("9", "b", "c", "y", "-y"), ("5", "c", "a", "z", "-z"), ("6", "a", "c", "w", "-w"), ("3", "d", "c", "v", "-v"), ("2", "b", "d", "u", "-u"), ("1", "d", "e", "t", "-t")]
+    edges = spark.createDataFrame(edges, "relation string, source string, target string, label string, inverse string")
+    got = graph.ring(edges, spark.createDataFrame([("a",), ("a",)], "node string"), 2)
+    assert got.columns == ["node", "depth", "relation", "via", "label"]
+    assert sorted(map(tuple, got.collect())) == [("b", 1, "4", "a", "x"), ("c", 1, "5", "a", "-z"), ("d", 2, "2", "b", "u")]
+
+
+def test_pages_beyond_the_ends(spark):
+    rows = spark.range(7).select(F.col("id").cast("int").alias("i"))
+    of = lambda n: [tuple(r) for r in browse.page(rows, [F.asc("i")], n, 3).collect()]
+    assert of(99) == of(3) == [(6, 7)] and of(0) == of(-4) == of(1) == [(0, 7), (1, 7), (2, 7)]
+    assert browse.page(rows.limit(0), [F.asc("i")], 5, 3).collect() == []
+
+
+def test_edges_touch_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("d", "d")], "source string, target string")
+    assert sorted(map(tuple, graph.touching(edges).collect())) == [("a", 3), ("b", 2), ("c", 1), ("d", 1)]
 
 
 def test_similarity(spark):
@@ -51,6 +67,34 @@ def test_similarity(spark):
     assert spark.range(1).select(similarity.cosine(zero, zero)).first()[0] == 0.0
 
 
+def test_best_overlaps_by_brute_force(spark, monkeypatch):
+    """Sets of owners by groups, ties, empty sets, questions that share nothing; with few and with many sets in the first look."""
+    rng = random.Random(6)
+    some = lambda n: sorted({rng.choice("abcdefghijklmnop"[: rng.choice([4, 16])]) for _ in range(rng.randint(0, n))})
+    sets = [(rng.choice("uv"), i, i // 2, 1 + i % 2, some(7)) for i in range(120)]
+    asked = [(rng.choice("uvw"), i, some(9)) for i in range(25)]
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    frames = spark.createDataFrame(sets, "type string, set int, owner int, weight int, tokens array<string>"), spark.createDataFrame(asked, "type string, question int, tokens array<string>")
+    for seeds in (1, 5, 1000):
+        monkeypatch.setattr(similarity, "SEEDS", seeds)
+        got = similarity.best_overlaps(*frames, 4, ["type"]).collect()
+        for t, q, wanted in asked:
+            mine = {r["set"]: r["score"] for r in got if r["question"] == q}
+            scores = {i: jaccard(wanted, w) for u, i, _, _, w in sets if u == t and jaccard(wanted, w) > 0}
+            assert mine.items() <= scores.items()
+            best = {}  # of each owner, its best score and its largest weight
+            for _, i, owner, weight, _ in sets:
+                if i in scores:
+                    best[owner] = tuple(map(max, best.get(owner, (0, 0)), (scores[i], weight)))
+            placed, last = 0, 0.0  # the score at which the limit is reached
+            for score, weight in sorted(best.values(), reverse=True):
+                placed += weight
+                if placed >= 4:
+                    last = score
+                    break
+            assert {i for i, s in scores.items() if s >= last} <= mine.keys()
+
+
 def test_texts(spark):
     row = spark.range(1).select(
         fn.slug(F.lit("Éa  b!")).alias("slug"),
@@ -75,13 +119,6 @@ def test_debounce_as_a_stream(spark, tmp_path):
     assert got == [(1, "c", "c"), (2, "a", "b")]
 
 
-def test_page_beyond_the_end(spark):
-    rows = spark.range(3)
-    assert browse.page(rows, [F.col("id")], 9, 2).count() == 0
-    pages, shown = spark.range(1).select(*browse.page_window(F.lit(0), 4, 25)).first()
-    assert (pages, shown) == (1, 1)
-
-
 def test_sessions_include_their_bounds(spark):
     at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
     rows = [(1, "u", "v", at(1)), (2, "u", "s", at(2)), (3, "u", "v", at(2)), (4, "u", "e", at(5)), (5, "u", "v", at(5)), (6, "u", "v", at(6)), (7, "w", "s", at(1)), (8, "w", "v", at(9)), (9, None, "v", at(1))]

@@ -133,10 +133,11 @@ def test_semantic_diff(spark):
 def test_prose_diff(spark):
     old = "# One\n\nA. B. C. D. E.\n\n# Two\n\nThe cat sat down."
     new = "# One\n\nA. B. C. D. E. F.\n\n# Two\n\nThe dog sat down."
-    df = spark.createDataFrame([(old, new), (old, old)], "o string, n string").select(diffs.prose_diff(F.col("o"), F.col("n")).alias("r")).withColumn("regions", diffs.regions(F.col("r"))).collect()
-    assert [(r["kind"], r["text"], r["units"]) for r in df[0]["r"]] == [("kept", "One", None), ("gap", None, 4), ("kept", "E.", None), ("added", "F.", None), ("kept", "Two", None), ("changed", "The dog sat down.", None)]
-    assert [tuple(s) for s in df[0]["r"][-1]["spans"]] == [("kept", "The"), ("removed", "cat"), ("added", "dog"), ("kept", "sat down.")]
-    assert (df[0]["regions"], df[1]["regions"], df[1]["r"]) == (2, 0, [])
+    df = diffs.prose_diff(spark.createDataFrame([(1, old, new), (2, old, old)], "id int, o string, n string"), ["id"], "o", "n")
+    got = df.orderBy("id", "at").collect()
+    assert [(r["kind"], r["text"], r["units"]) for r in got] == [("kept", "One", None), ("gap", None, 4), ("kept", "E.", None), ("added", "F.", None), ("kept", "Two", None), ("changed", "The dog sat down.", None)]
+    assert [tuple(s) for s in got[-1]["spans"]] == [("kept", "The"), ("removed", "cat"), ("added", "dog"), ("kept", "sat down.")]
+    assert [tuple(r) for r in diffs.regions(df, ["id"]).collect()] == [(1, 2)]
     assert diffs.word_spans("a b c", "x y z") == [("removed", "a b c"), ("added", "x y z")]
 
 
@@ -355,9 +356,8 @@ def test_connectors(spark, tmp_path):
     free = spark.createDataFrame([("x/locations/y.md", "# Head\n[[A|b]] text"), ("/locations/z.txt", "\n\nonly"), ("e", " \n")], "path string, content string")
     assert rows(connectors.free_texts(free).select("type", "name", "summary"), "name") == [("place", "Head", "A text"), ("place", "z", "only")]
     vault = spark.createDataFrame([("a/N.md", "# N\nx"), ("b/N.md", "y"), (".obsidian/N.md", "z"), ("c.txt", "q")], "path string, content string")
-    assert rows(connectors.vault(vault).select("title", "text"), "title") == [("N (a/N.md)", "x"), ("N (b/N.md)", "y")]
-    rows_ = spark.createDataFrame([("n", "t", ["a"], "s", "v", "c", None, "body")], "name string, type string, aliases array<string>, slug string, visibility string, created_at string, updated_at string, body string")
-    assert connectors.export(rows_, f"file://{tmp_path}/out") == 1
+    more = spark.createDataFrame([("c/O.md", "intro\n#  Real title \nbody"), ("e.md", "---\na: b\n---\n  \n"), ("f.md", "# Only a title")], "path string, content string")
+    assert rows(connectors.vault(vault.union(more)).select("title", "text"), "title") == [("N", "x"), ("N (b/N.md)", "y"), ("Real title", "intro\nbody")]
     broken = spark.createDataFrame([("no front",), ("---\nx\n---\n\nb",)], "text string")
     assert {r["error"] for r in connectors.parsed_markdown(broken).collect()} == {"malformed front"}
 
