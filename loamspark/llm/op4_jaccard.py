@@ -11,7 +11,8 @@ with the same smallest member are joined to one, so a group of near copies makes
 
 Answers. Each list is verified exactly from its members' whole sets. One member is the base: the others are held as what they lack of it and
 have beyond it, and the intersections of all pairs follow from its own by those differences. A pair that shares several lists counts in the
-one with the smallest number. Long lists are dealt out as pairs of blocks, so no task holds more than two blocks and no pair is emitted: a
+one with the smallest number. Long lists are dealt out as pairs of blocks, of ``BLOCK`` sets or ``BLOCK_BYTES`` of them, so no task holds more than two blocks (a longer set
+is a block by itself) and no pair is emitted: a
 list gives each member its number of links and the smallest document of its part, and these stars are joined to components.
 
 Components are found among classes, each known by a number of its own, so rows that share an id but no links stay apart; a component's id is the
@@ -35,8 +36,8 @@ from .common import doc_text, mix64, parallelism, ragged, small_batches, table,
 
 #: Index entries that a bucket should hold, and entries a map task gathers before it hands them on.
 BUCKET_ENTRIES, FLUSH_ENTRIES = 500_000, 2_000_000
-#: Members of a block of a long list.
-BLOCK = 1024
+#: Members of a block of a long list, and bytes of their sets (8 a shingle).
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Up to so many document ids or long lists (8 or 12 bytes each) are broadcast; beyond, a shuffle joins them.
 BROADCAST_IDS = 2_000_000
 
@@ -215,7 +216,7 @@ def partners(size: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray
 
 
 def index_lists(index: DataFrame, percent: int) -> DataFrame:
-    """list_id, key: the members of lists of two members or more. A list's number is its smallest member, and lists of one number are one."""
+    """list_id, key, size: the members of lists of two members or more, and how many shingles they have. A list's number is its smallest member, and lists of one number are one."""
 
     def gather(data: pa.Table) -> pa.Table:
         sign, key, size, position = _unpacked(data.column("entries").to_pylist())
@@ -233,18 +234,21 @@ def index_lists(index: DataFrame, percent: int) -> DataFrame:
         pairs = pairs[(size[pairs + 1].astype(np.int64) * percent <= 100 * size[pairs].astype(np.int64)) & (np.maximum(position[pairs], position[pairs + 1]) <= h)]
         low, high = np.minimum(key[pairs], key[pairs + 1]), np.maximum(key[pairs], key[pairs + 1])
         lists, members = [low, low], [low, high]
+        sizes = [size[np.where(key[pairs] <= key[pairs + 1], pairs, pairs + 1)], size[np.where(key[pairs] <= key[pairs + 1], pairs + 1, pairs)]]
         for b, n in zip(begin[many > 2].tolist(), many[many > 2].tolist(), strict=True):
-            found = key[b : b + n][partners(size[b : b + n], position[b : b + n], percent)]
+            linked = partners(size[b : b + n], position[b : b + n], percent)
+            found = key[b : b + n][linked]
             if len(found) > 1:
                 lists.append(np.full(len(found), found.min()))
                 members.append(found)
-        lists, members = np.concatenate(lists), np.concatenate(members)
+                sizes.append(size[b : b + n][linked])
+        lists, members, sizes = np.concatenate(lists), np.concatenate(members), np.concatenate(sizes)
         order = np.lexsort((members, lists))
-        lists, members = lists[order], members[order]
+        lists, members, sizes = lists[order], members[order], sizes[order]
         fresh = np.append(True, (lists[1:] != lists[:-1]) | (members[1:] != members[:-1])) if len(lists) else np.zeros(0, bool)
-        return pa.Table.from_arrays([pa.array(lists[fresh]), pa.array(members[fresh])], ["list_id", "key"])
+        return pa.Table.from_arrays([pa.array(lists[fresh]), pa.array(members[fresh]), pa.array(sizes[fresh])], ["list_id", "key", "size"])
 
-    return index.groupBy("bucket").applyInArrow(gather, "list_id long, key long").distinct()
+    return index.groupBy("bucket").applyInArrow(gather, "list_id long, key long, size int").distinct()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -370,7 +374,8 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     buckets = max(parallelism(spark), -(-int(n_entries) * (200 - 2 * percent) // (100 + percent) // BUCKET_ENTRIES))
     lists = written(index_lists(bucketed_index(docs.where("doc_id is not null"), n, percent, buckets), percent), "lists")
 
-    long = lists.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("size") * 8 / F.lit(float(BLOCK_BYTES)))).cast("int")
+    long = lists.groupBy("list_id").agg(blocks.alias("blocks")).where("blocks > 1")
     long = written(long, "long-lists")  # one for each BLOCK members at most
     dealt = lists.join(F.broadcast(long) if long.count() <= BROADCAST_IDS else long, "list_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     by_key = dealt.groupBy("key").agg(F.collect_list(F.struct("list_id", "blocks")).alias("lists"))  # at most one for each entry of the set
