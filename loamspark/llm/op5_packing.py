@@ -7,8 +7,8 @@ the counts allow, so a plan is a short list of (combination, how often). Pieces
 
 A hot length (of a group of copies, say) is numbered in salted slices, with the slices' counts summed up before.
 
-Defined results: a null text is empty, and an empty text is the end id alone; rows with equal ids are packed each; an empty table gives no
-rows; extra columns are not read by ``pieces`` and are kept by ``pack``.
+Defined results: a null text is empty, and an empty text is the end id alone; rows with equal ids are packed each; a text of any length is
+encoded whole and cut into full pieces and a rest; an empty table gives no rows; extra columns are not read by ``pieces`` and are kept by ``pack``.
 """
 
 from __future__ import annotations

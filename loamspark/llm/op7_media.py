@@ -8,7 +8,8 @@ inverse-transformed with numpy, chroma is upsampled, and the full-resolution RGB
 Each picture is a row of its own and nothing is shuffled; a task holds one Arrow batch of rows at a time.
 
 Defined results: a null text is empty; an empty text is one block row of padding; rows with equal ids or texts are described each, equal
-texts alike; an empty table gives no rows; extra columns are not read.
+texts alike; a picture is about square, so a text of any length that Spark can hold stays within the format's 65,535 lines, and a task holds a whole
+picture; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

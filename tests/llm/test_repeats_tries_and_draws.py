@@ -241,3 +241,23 @@ def test_media_digests(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
         assert by_text.setdefault(raw, tuple(r)[3:]) == tuple(r)[3:]
     assert op7_media.__doc__
+
+
+@pytest.mark.parametrize(("members", "size"), [(3, 1 << 24), (1024, 900), (2, 300)])
+def test_lists_in_blocks_of_members_and_of_bytes(spark, monkeypatch, members, size):
+    """A group of near copies, some of them long, whose list is dealt out in blocks; against all pairs."""
+    from loamspark.llm import op4_jaccard
+
+    monkeypatch.setattr(op4_jaccard, "BLOCK", members)
+    monkeypatch.setattr(op4_jaccard, "BLOCK_BYTES", size)
+    rng = random.Random(members)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.02 else rng.choice(base) for w in base) for _ in range(24)]
+    texts += [" ".join(f"x{i}" for i in range(900 + k)) for k in range(4)]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    near = [{j for j, b in enumerate(sets) if j != i and 100 * len(a & b) >= 85 * len(a | b)} for i, a in enumerate(sets)]
+    reach = list(range(len(texts)))
+    while (new := [min(reach[j] for j in (i, *near[i])) for i in range(len(texts))]) != reach:
+        reach = new
+    got = op4_jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    assert [(r["component_id"], r["n_links"]) for r in got] == [(c, len(n)) for c, n in zip(reach, near, strict=True)]
