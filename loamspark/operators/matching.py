@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,13 @@ def set_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def narrowed_others(subjects: DataFrame, candidates: DataFrame, limit: int = 20) -> DataFrame:
+    """narrowed for subjects that are candidates too, by the same ids: each subject's own row is left out. It is among one more than the limit or not needed to fill it."""
+    more = narrowed(subjects, candidates, limit + 1).where("subject <> candidate")
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("place"))
+    return more.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def narrowed(subjects: DataFrame, candidates: DataFrame, limit: int = 20) -> DataFrame:
     """subject, type, candidate, overlap, place: for each subject the ``limit`` candidates of its type with most words of the name in common, ties by ``nth``.
 
@@ -155,25 +166,56 @@ def _units(char: Column) -> Column:
     return F.when(F.length(char) == 0, F.array().cast("array<bigint>")).when(code < 0x10000, F.array(code)).otherwise(F.array(F.floor(beyond / 1024) + 0xD800, F.pmod(beyond, F.lit(1024)) + 0xDC00))
 
 
-def hashed_vector(tokens: Column, dimensions: int = 256) -> Column:
-    """How often each place is hit by the tokens, as a vector of length one; zeros where there is no token."""
-    places = F.array_sort(F.transform(tokens, lambda t: hash_bucket(t, dimensions)))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-
-    def scaled(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-    return F.get(F.transform(F.array(counted), scaled), 0)
+def _hash_places(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, dimensions: int) -> np.ndarray:
+    """hash_bucket of the tokens of an array of code points, a character of all tokens that still have one at a time."""
+    h = np.full(len(begin), 2166136261, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    at, most = begin[order], int(size.max(initial=0))
+    for k, n in enumerate(np.searchsorted(-size[order], -np.arange(1, most + 1), "right").tolist()):
+        code = codes[at[:n] + k].astype(np.uint64)
+        beyond = code > 0xFFFF
+        first = np.where(beyond, ((code - np.uint64(0x10000)) >> np.uint64(10)) + np.uint64(0xD800), code)
+        h[:n] = ((h[:n] ^ first) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        if beyond.any():
+            second = ((code - np.uint64(0x10000)) & np.uint64(0x3FF)) + np.uint64(0xDC00)
+            h[:n] = np.where(beyond, ((h[:n] ^ second) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF), h[:n])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.minimum(h, np.uint64(1 << 32) - h).astype(np.int64) % dimensions
+    return out
+
+
+def _hashed(texts: pd.Series, tokens: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], dimensions: int) -> pd.Series:
+    """How often each place is hit by the tokens of each text, as a vector of length one; zeros where there is no token, null for null. One pass over the tokens."""
+    out = []
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        hits = np.bincount(_hash_places(codes, *tokens(codes), dimensions), minlength=dimensions).astype(np.float64)
+        norm = np.sqrt((hits * hits).sum())
+        out.append(hits / norm if norm else hits)
+    return pd.Series(out)
+
+
+def _word_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.concatenate([[False], ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57)), [False]]).astype(np.int8)
+    edge = np.diff(inside)
+    begin = np.flatnonzero(edge == 1)
+    return begin, np.flatnonzero(edge == -1) - begin
+
+
+def _run_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.arange(max(0, len(codes) - 2))
+    return begin, np.full(len(begin), 3)
 
 
 def word_vector(text: Column, dimensions: int = 256) -> Column:
-    """hashed_vector of a text's ASCII words, repeats counted."""
-    return hashed_vector(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")), dimensions)
+    """How often each place is hit by a text's ASCII words, repeats counted, as a vector of length one."""
+    return F.pandas_udf(lambda t: _hashed(t, _word_places, dimensions), "array<double>")(F.lower(text))
 
 
 def trigram_vector(text: Column, dimensions: int = 256) -> Column:
-    """hashed_vector of a text's runs of three characters, two blanks before it and behind."""
+    """How often each place is hit by a text's runs of three characters, two blanks before it and behind, as a vector of length one."""
     padded = F.concat(F.lit("  "), fn.trimmed(F.regexp_replace(F.lower(text), rf"{fn.BLANK}+", " ")), F.lit("  "))
-    runs = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))
-    return hashed_vector(F.get(F.transform(F.array(padded), runs), 0), dimensions)
+    return F.pandas_udf(lambda t: _hashed(t, _run_places, dimensions), "array<double>")(padded)

@@ -20,7 +20,7 @@ _BODY = "'## About' || chr(10) || chr(10) || 'Met Person ' || (c_custkey * 7 + 1
 
 
 def entities(spark, d):
-    c = table(spark, d, "customer")
+    c = spread(table(spark, d, "customer"))
     n = c.agg(F.count("*").alias("n"))
     return c.join(F.broadcast(n), F.lit(True)).select(F.col("c_custkey").alias("entity"), F.expr(_NAME).alias("name"), F.array(F.expr(_ALIAS)).alias("aliases"), F.expr(_BODY.replace("chr(10)", "char(10)")).alias("body"))  # one row on the right
 
@@ -52,35 +52,35 @@ SQL["resolved_links"] = "select c_custkey, case c_custkey % 3 when 0 then c_cust
 
 
 def edited(spark, d):
-    return entities(spark, d).where("entity % 10 = 3")
+    return entities(spark, d).where("entity % 20 = 0")
 
 
 def graph_paths(spark, d):
-    """Paths of labels from some nodes over the relations of users and numbers, two steps far."""
+    """Paths of labels from every 20th customer over the relations of users and numbers, two steps far."""
     e = edges(spark, d).where("label = 'purchase'").withColumnRenamed("event_id", "nth")
-    return op.paths(e, table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))).select("start", "node", "hops", F.array_join("path", ">").alias("path"))
+    return op.paths(e, table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").cast("long").alias("node"))).select("start", "node", "hops", F.array_join("path", ">").alias("path"))
 
 
 QUERIES["graph_paths"] = graph_paths
 SQL["graph_paths"] = f"""
 with {_E}, g as (select user_id as a, k::bigint as b, event_id from e where user_id <> k and event_type = 'purchase'), b as (select a as node, b as next from g union all select b, a from g),
-one as (select n_nationkey::bigint as start, next as node, 1 as hops from nation join b on node = n_nationkey union all select n_nationkey, y.next, 2 from nation join b x on x.node = n_nationkey join b y on y.node = x.next)
+st as (select c_custkey::bigint as s from customer where c_custkey % 20 = 0), one as (select s as start, next as node, 1 as hops from st join b on node = s union all select s, y.next, 2 from st join (select distinct * from b) x on x.node = s join (select distinct * from b) y on y.node = x.next)
 select start, node, min(hops)::int as hops, case min(hops) when 1 then 'purchase' else 'purchase>purchase' end as path from one where node <> start group by start, node"""
 
 
 def evidence(spark, d):
     e = entities(spark, d)
     relations = edges(spark, d).where("label = 'signup'").withColumnRenamed("event_id", "nth")
-    fresh = mentions.sentence_rows(edited(spark, d), "entity", "body").where("at < 3")
+    fresh = mentions.sentence_rows(edited(spark, d), "entity", "body")
     similar = edges(spark, d).where("label = 'error'").select("source", F.col("target").alias("entity"), (F.lit(100) / (F.col("event_id") + 200)).alias("similarity"), F.lit("s").alias("sentence")).join(edited(spark, d).select(F.col("entity").alias("source")), "source", "left_semi")
     return op.pool(edited(spark, d), e, relations, fresh, similar)
 
 
-_POOL = f"""{_E}, {_SAID}, g as (select user_id as a, k::bigint as b from e where user_id <> k and event_type = 'signup'), b as (select a as node, b as next from g union all select b, a from g), ed as (select c_custkey as s from customer where c_custkey % 10 = 3),
+_POOL = f"""{_E}, {_SAID}, g as (select user_id as a, k::bigint as b from e where user_id <> k and event_type = 'signup'), b as (select a as node, b as next from g union all select b, a from g), ed as (select c_custkey as s from customer where c_custkey % 20 = 0),
 hop as (select s as source, next as entity, 1 as hops from ed join b on node = s union all select s, y.next, 2 from ed join b x on x.node = s join b y on y.node = x.next),
 pool as (select source, entity, 'relation' as kind, case min(hops) when 1 then 1.0 else 0.5 end::double as score from hop where entity <> source and entity in (select c_custkey from customer) group by source, entity
-  union all select source, entity, 'forward', 1.0 from named where source % 10 = 3 and entity <> source union all select entity, source, 'reverse', 0.8 from named where entity % 10 = 3 and entity <> source
-  union all select user_id, k, 'embedding', 0.6::double * (100.0::double / (event_id + 200)) from e where event_type = 'error' and user_id <> k and user_id % 10 = 3 and user_id in (select c_custkey from customer) and k in (select c_custkey from customer))"""
+  union all select source, entity, 'forward', 1.0 from named where source % 20 = 0 and entity <> source union all select entity, source, 'reverse', 0.8 from named where entity % 20 = 0 and entity <> source
+  union all select user_id, k, 'embedding', 0.6::double * (100.0::double / (event_id + 200)) from e where event_type = 'error' and user_id <> k and user_id % 20 = 0 and user_id in (select c_custkey from customer) and k in (select c_custkey from customer))"""
 QUERIES["candidate_scores"] = lambda spark, d: evidence(spark, d).groupBy("source", "entity").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("evidence"))
 SQL["candidate_scores"] = f"with {_POOL} select source, entity, round(sum(score), 6) as score, count(*) as evidence from pool group by 1, 2"
 WEIGHED = ["wrong", "too much", "prose", "already true", "dull"]
@@ -100,7 +100,7 @@ with {_POOL}, h as (select user_id as target, k % 2 = 0 as keyed, case k % 5 whe
 p as (select source, entity, sum(score) as score, bool_or(kind = 'relation') as related from pool group by 1, 2), f as (select target, sum(w) as w, sum(w) filter (keyed) as k from h group by target), t as (select sum(w) filter (keyed) as w from h)
 select source, entity, round(coalesce(f.w, 0) + case when related then 0.5 * (coalesce(t.w, 0) - coalesce(f.k, 0)) else 0 end, 6) as penalty, round(score + coalesce(f.w, 0) + case when related then 0.5 * (coalesce(t.w, 0) - coalesce(f.k, 0)) else 0 end, 6) as final
 from t, p left join f on f.target = p.entity"""
-QUERIES["audit_pairs"] = lambda spark, d: op.audit_pairs(edited(spark, d), entities(spark, d), mentions.sentence_rows(edited(spark, d), "entity", "body").where("at < 3")).select("source", "entity", "rank", "mine", "theirs")
+QUERIES["audit_pairs"] = lambda spark, d: op.audit_pairs(edited(spark, d), entities(spark, d), mentions.sentence_rows(edited(spark, d), "entity", "body")).select("source", "entity", "rank", "mine", "theirs")
 
 
 def own_canon(spark, d):
@@ -198,13 +198,13 @@ def parts(spark, d):
 def narrowed(spark, d):
     p = parts(spark, d)
     subjects = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("subject"), "type", "words")
-    return matching.narrowed(subjects, p.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("candidate"), "type", "words", F.col("p_partkey").alias("nth")))
+    return matching.narrowed_others(subjects, p.select(F.col("p_partkey").alias("candidate"), "type", "words", F.col("p_partkey").alias("nth")))
 
 
 QUERIES["narrowed_candidates"] = lambda spark, d: narrowed(spark, d).select("subject", "candidate", F.round("overlap", 6).alias("overlap"), "place")
 _WORDS = "list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')), ' '))"
 _NARROW = f"""w as (select p_partkey, p_type, {_WORDS} as w, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) as said from part),
-o as (select s.p_partkey as subject, c.p_partkey as candidate, s.said as a, c.said as b, len(list_intersect(s.w, c.w)) / len(list_distinct(s.w || c.w))::double as overlap from w s join w c using (p_type) where s.p_partkey % 20 = 0 and c.p_partkey % 20 <> 0),
+o as (select s.p_partkey as subject, c.p_partkey as candidate, s.said as a, c.said as b, len(list_intersect(s.w, c.w)) / len(list_distinct(s.w || c.w))::double as overlap from w s join w c using (p_type) where s.p_partkey % 20 = 0 and c.p_partkey <> s.p_partkey),
 r as (select *, row_number() over (partition by subject order by overlap desc, candidate) as place from o qualify place <= 20)"""
 SQL["narrowed_candidates"] = f"with {_NARROW} select subject, candidate, round(overlap, 6) as overlap, place from r"
 
@@ -272,12 +272,12 @@ SQL["relation_types"] = """
 with t as (select p_name, min(p_partkey) as type, min_by(p_size, p_partkey) as size from part group by p_name), a as (select p_partkey as id, p_name, p_type as source, p_partkey % 3 as way from part),
 m as (select id, way, type, size, source, case way when 0 then list_contains(case when size % 2 = 0 then ['ECONOMY', 'PROMO'] else ['PROMO'] end, source) else false end as ok from a left join t on t.p_name = a.p_name and way < 2)
 select id, case when type is null then 'new-proposed' when ok then 'existing' when size > 25 then 'widen-proposed' else 'new-proposed' end as kind, type, (way = 1)::int as swapped from m"""
-QUERIES["hashed_names"] = lambda spark, d: table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(matching.word_vector(F.col("text"), 32), lambda x: F.round(x, 4).cast("string")), " ").alias("words"))
+QUERIES["hashed_texts"] = lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.transform(matching.word_vector(F.col("text")), lambda x: F.round(x, 4).cast("string")), " ").alias("words"))
 _FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(t, ''), lambda c: ord(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
-SQL["hashed_names"] = f"""
-with t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from benchmark), h as (select item_id, {_FNV} as h from t), p as (select item_id, (least(h, 4294967296 - h) % 32)::int as p from h), c as (select item_id, p, count(*) as n from p group by 1, 2),
-v as (select item_id, i, coalesce(n, 0)::double as n from (select distinct item_id from c), range(32) r(i) left join c using (item_id) where false union all select x.item_id, r.i, coalesce(c.n, 0)::double from (select distinct item_id from c) x cross join range(32) r(i) left join c on c.item_id = x.item_id and c.p = r.i),
-s as (select item_id, sqrt(sum(n * n)) as s from v group by 1) select v.item_id, string_agg(round(n / s, 4)::varchar, ' ' order by i) as words from v join s using (item_id) group by v.item_id""".replace("select item_id, i, coalesce(n, 0)::double as n from (select distinct item_id from c), range(32) r(i) left join c using (item_id) where false union all ", "").replace("select x.item_id, r.i, coalesce(c.n, 0)::double from", "select x.item_id, r.i, coalesce(c.n, 0)::double as n from")
+SQL["hashed_texts"] = f"""
+with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents), d as (select t, {_FNV} as h from (select distinct t from t)), c as (select doc_id, (least(h, 4294967296 - h) % 256)::int as p, count(*) as n from t join d using (t) group by 1, 2),
+v as (select x.doc_id, i, coalesce(c.n, 0)::double as n from (select doc_id from documents where text is not null) x cross join range(256) r(i) left join c on c.doc_id = x.doc_id and c.p = i), s as (select doc_id, sqrt(sum(n * n)) as s from v group by 1)
+select v.doc_id, string_agg(round(case when s = 0 then 0 else n / s end, 4)::varchar, ' ' order by i) as words from v join s using (doc_id) group by v.doc_id"""
 
 
 def lore(spark, d):

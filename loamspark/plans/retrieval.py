@@ -75,9 +75,6 @@ SQL["threshold_sweep"] = f"""
 with s as (select greatest(0, {_COSINE}) as score, q.label = p.label as same from embeddings q join embeddings p on q.vec_id <> p.vec_id where q.vec_id % 20 = 0), c as (select floor(score * 20 + 1e-9) as cell, same from s)
 select i * 5 / 100.0::double as threshold, count(*) filter (not same and cell >= i) as false_merges, count(*) filter (same and cell < i) as false_splits, 5.0::double * count(*) filter (not same and cell >= i) + count(*) filter (same and cell < i) as cost
 from range(1, 20) r(i), c group by i"""
-for _name, _query in (("nearest_vectors", nearest), ("boosted_retrieval", boosted_rounded), ("retrieval_quality", quality), ("threshold_sweep", sweep)):
-    QUERIES[f"{_name}_20th"] = lambda spark, d, query=_query: query(spark, d, EACH_20TH)
-    SQL[f"{_name}_20th"] = SQL[_name]
 QUERIES["benchmark_jaccard"] = lambda spark, d: op.jaccard_join(table(spark, d, "benchmark").select("item_id", fn.unicode_words(F.col("text")).alias("tokens")), "item_id", "tokens", 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 SQL["benchmark_jaccard"] = """
 with t as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from benchmark),

@@ -163,13 +163,13 @@ select lower(replace(c_name, '#', '-')) as slug, c_name as name, c_mktsegment ||
 def kinds(spark, d):
     """Archives by what their paths look like: one for each user, with paths by the numbers of its events."""
     shapes = ["notes/a.md", "json/a.json", "html/a.html", "page.html", "page_files/x.png", "b.md", "vault/.obsidian/app.json", "one.pdf"]
-    rows = events(spark, d).where("user_id < 40 and k < 30").select("user_id", F.get(F.array(*map(F.lit, shapes)), (F.col("k") + F.col("user_id")).cast("int") % 8).alias("path")).distinct()
+    rows = events(spark, d).select("user_id", F.get(F.array(*map(F.lit, shapes)), (F.col("k") + F.col("user_id")).cast("int") % 8).alias("path")).distinct()
     return archives.source_types(rows, "user_id")
 
 
 QUERIES["source_types"] = kinds
 SQL["source_types"] = f"""
-with {_E}, p as (select distinct user_id, (['notes/a.md', 'json/a.json', 'html/a.html', 'page.html', 'page_files/x.png', 'b.md', 'vault/.obsidian/app.json', 'one.pdf'])[(k + user_id) % 8 + 1] as path from e where user_id < 40 and k < 30),
+with {_E}, p as (select distinct user_id, (['notes/a.md', 'json/a.json', 'html/a.html', 'page.html', 'page_files/x.png', 'b.md', 'vault/.obsidian/app.json', 'one.pdf'])[(k + user_id) % 8 + 1] as path from e),
 f as (select user_id, list(path) as l, count(*) as n from p group by user_id), m as (select *, len(list_filter(l, lambda x: x like '%.md')) as md, len(list_filter(l, lambda x: x like '%.html')) as pages from f),
 r as (select *, case when list_contains(l, 'vault/.obsidian/app.json') then 1 when list_contains(l, 'json/a.json') and list_contains(l, 'html/a.html') then 2 when list_contains(l, 'page.html') and list_contains(l, 'page_files/x.png') then 3 when md = n then 4 when n = 1 and list_contains(l, 'one.pdf') then 5 else 6 end as rule from m)
 select user_id, (['obsidian', 'world-anvil', 'onenote', 'obsidian', 'pdf', 'generic'])[rule] as kind, rule in (1, 2, 3, 5) as confident, case rule when 1 then md when 3 then pages when 4 then md else n end as n from r"""

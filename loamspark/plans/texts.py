@@ -8,7 +8,7 @@ from ..functions import language
 from ..functions import text as fn
 from ..functions.words import MARKERS, SCENE_STOP
 from ..operators import passages
-from ..sources import table
+from ..sources import spread, table
 
 QUERIES, SQL = {}, {}
 _FOLD = r"lower(regexp_replace(strip_accents(%s), '[\^`]', '', 'g'))"
@@ -23,7 +23,7 @@ def _trim(x):
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 text = "text"
@@ -104,9 +104,9 @@ SQL["links_and_images"] = rf"""
 with m as (select conv_id, turn, {_MARKED} as t from conversations)
 select conv_id, turn, 'Linked Name;Other;Secret' as links, 'alt|pic.png|100;b|c.png' as images, regexp_replace(t, '\[\[([^\]\n]+)\]\]', '\1', 'g') as plain from m"""
 QUERIES["fence_views"] = lambda spark, d: (
-    documents(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", F.length(fn.without_fences(F.concat(F.when(F.col("toxic") == 1, F.concat(F.lit(":::secret\n"), "text", F.lit("\n:::\n"))).otherwise(F.col("text")), F.lit("end")))).alias("shown"))
+    documents(spark, d).join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.length(fn.without_fences(F.concat(F.when(F.col("toxic") == 1, F.concat(F.lit(":::secret\n"), "text", F.lit("\n:::\n"))).otherwise(F.col("text")), F.lit("end")))).alias("shown"))
 )
-SQL["fence_views"] = "select doc_id, case when toxic = 1 then 3 else length(text) + 3 end as shown from documents join labels using (doc_id)"
+SQL["fence_views"] = "select doc_id, case when toxic = 1 then 3 else length(text) + 3 end as shown from documents left join labels using (doc_id)"
 
 
 def spans(spark, d):

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_search_takes_each_20th_vector(spark):
-    got = {r["query_id"] for r in registry.QUERIES["boosted_retrieval_20th"](spark, FOLDER).select("query_id").collect()}
+    got = {r["query_id"] for r in registry.QUERIES["boosted_retrieval"](spark, FOLDER).select("query_id").collect()}
     ids = {r["vec_id"] for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id").collect()}
     assert len(got) > 10 and got <= {i for i in ids if i % 20 == 0}
 
