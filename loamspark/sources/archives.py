@@ -5,12 +5,20 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .live import Folder
 
 MIB = 1 << 20
 #: Limits that an archive keeps before anything is inflated: its own bytes, entries, bytes of an entry, bytes of all entries.
@@ -32,48 +40,134 @@ def entry_path(name: Column) -> Column:
     return F.when(~bad, F.array_join(parts, "/"))
 
 
-ENTRY_COLUMNS = "archive string, archive_sha256 string, name string, content binary, error string"
+ENTRY_COLUMNS = "archive string, archive_sha256 string, path string, content binary, error string"
+#: Bytes of entries that are handed on at once, and of an archive that are hashed at once.
+BATCH_BYTES, CHUNK_BYTES = 4 * MIB, MIB
+
+
+def normal_path(name: str) -> str | None:
+    """entry_path for one name."""
+    if not name or "\0" in name or name[0] in "/\\" or (name[0].isascii() and name[0].isalpha() and name[1:2] == ":"):
+        return None
+    parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
+    return "/".join(parts) if parts and ".." not in parts else None
+
+
+def _contents(file: IO[bytes], size: int) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """(path, content, error) of the entries of an archive, one at a time: its directory is read first, at the end of the file, and then each entry where it is."""
+    if size > ARCHIVE_BYTES:
+        yield None, None, "archive too large"
+        return
+    try:
+        archive = zipfile.ZipFile(file)
+    except (ValueError, OSError, zipfile.BadZipFile):
+        yield None, None, "bad archive"
+        return
+    infos = archive.infolist()
+    if len(infos) > ENTRIES or any(i.file_size > ENTRY_BYTES for i in infos) or sum(i.file_size for i in infos) > TOTAL_BYTES:
+        yield None, None, "archive over its limits"
+        return
+    paths = [None if i.is_dir() else normal_path(i.orig_filename) for i in infos]
+    last = {p: n for n, p in enumerate(paths)}
+    for n, (info, path) in enumerate(zip(infos, paths, strict=True)):
+        if info.is_dir() or (path is not None and last[path] != n):
+            continue
+        if path is None:
+            yield None, None, "path not allowed"
+        elif info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            yield path, None, "compression not supported"
+        else:
+            try:
+                yield path, archive.read(info), None
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, ValueError, OSError, EOFError):
+                yield path, None, "bad entry"
+
+
+def rolling_sha256(file: IO[bytes]) -> str:
+    """The digest of a file from its beginning, some of it in memory at a time; the file is at its beginning again."""
+    state = hashlib.sha256()
+    while chunk := file.read(CHUNK_BYTES):
+        state.update(chunk)
+    file.seek(0)
+    return state.hexdigest()
+
+
+def _batches(archive: str, file: IO[bytes], size: int) -> Iterator[pa.RecordBatch]:
+    digest, held, n = rolling_sha256(file), [], 0
+    for entry in _contents(file, size):
+        held.append(entry)
+        n += len(entry[1] or b"")
+        if n >= BATCH_BYTES:
+            yield _entry_batch(archive, digest, held)
+            held, n = [], 0
+    if held:
+        yield _entry_batch(archive, digest, held)
+
+
+def _entry_batch(archive: str, digest: str, rows: list[tuple]) -> pa.RecordBatch:
+    path, content, error = zip(*rows, strict=True)
+    columns = [pa.array([archive] * len(rows)), pa.array([digest] * len(rows)), pa.array(path, pa.string()), pa.array(content, pa.binary()), pa.array(error, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["archive", "archive_sha256", "path", "content", "error"])
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """archive, archive_sha256, path, content, sha256, error of the file entries of each archive (path, content).
+    """archive, archive_sha256, path, content, sha256, error of the file entries of each archive (path, content), for archives that are columns of a table.
 
     Declared sizes are checked before anything is inflated. An archive that breaks a limit or cannot be read is one row with an error, and so is
-    an entry whose name is not allowed or whose content cannot be inflated. Of entries with one path the last is kept.
+    an entry whose name is not allowed or whose content cannot be inflated. Of entries with one path the last is kept. Rows come to Python a few at a time, whole; archives
+    in files are better read by ``archive_entries``.
     """
 
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                digest = hashlib.sha256(content).hexdigest()
-                try:
-                    if len(content) > ARCHIVE_BYTES:
-                        raise ValueError("archive too large")
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    infos = archive.infolist()
-                    if len(infos) > ENTRIES or any(i.file_size > ENTRY_BYTES for i in infos) or sum(i.file_size for i in infos) > TOTAL_BYTES:
-                        raise ValueError("archive over its limits")
-                except (ValueError, zipfile.BadZipFile) as e:
-                    yield pd.DataFrame([(path, digest, None, None, str(e) or "bad archive")], columns=["archive", "archive_sha256", "name", "content", "error"])
-                    continue
-                for info in infos:  # an entry leaves at once, so one is held at a time
-                    if not info.is_dir():
-                        data, error = None, None
-                        if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                            error = "compression not supported"
-                        else:
-                            try:
-                                data = archive.read(info)
-                            except (zipfile.BadZipFile, RuntimeError, ValueError, EOFError) as e:
-                                error = str(e) or "bad entry"
-                        yield pd.DataFrame([(path, digest, info.orig_filename, data, error)], columns=["archive", "archive_sha256", "name", "content", "error"])
-
-    found = archives.select("path", "content").mapInPandas(opened, ENTRY_COLUMNS).withColumn("_nth", F.monotonically_increasing_id())
-    out = found.withColumn("path", F.when(F.col("name").isNotNull(), entry_path(F.col("name"))))
-    out = out.withColumn("error", F.coalesce("error", F.when(F.col("name").isNotNull() & F.col("path").isNull(), "path not allowed")))
-    last = F.row_number().over(Window.partitionBy("archive", "path").orderBy(F.desc("_nth")))
-    kept = out.withColumn("_last", last).where("path is null or _last = 1")
-    return kept.select("archive", "archive_sha256", "path", "content", F.sha2("content", 256).alias("sha256"), "error")
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                data = content.as_buffer() or b""
+                yield from _batches(path.as_py(), pa.BufferReader(data), len(data))
+
+    small = archives.select("path", "content")
+    return small.mapInArrow(opened, ENTRY_COLUMNS).select("archive", "archive_sha256", "path", "content", F.sha2("content", 256).alias("sha256"), "error")
+
+
+@dataclass
+class ArchiveFile(InputPartition):
+    path: str
+    size: int
+
+
+class ZipArchives(DataSource):
+    """ENTRY_COLUMNS of the zip files under a folder (option path, a URI that driver and executors reach), a task for each file, which reads what it needs of it and holds some entries at a time."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_archives"
+
+    def schema(self) -> str:
+        return ENTRY_COLUMNS
+
+    def reader(self, schema) -> ZipReader:
+        return ZipReader(self.options["path"])
+
+
+class ZipReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[ArchiveFile]:
+        folder = Folder(self.path)
+        found = folder.files.get_file_info(fs.FileSelector(folder.root, recursive=True))
+        return [ArchiveFile(f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(".zip")] or [ArchiveFile("", 0)]
+
+    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+        folder = Folder(self.path)
+        if partition.path:
+            with folder.files.open_input_file(partition.path) as file:
+                yield from _batches(partition.path[len(folder.root) :].lstrip("/"), file, partition.size)
+
+
+def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+    """entries of the zip files under a folder; archive is a file's path below it."""
+    spark.dataSource.register(ZipArchives)
+    return spark.read.format("zip_archives").option("path", path).load().select("archive", "archive_sha256", "path", "content", F.sha2("content", 256).alias("sha256"), "error")
 
 
 def listing(paths: DataFrame, prefix: str, path: str = "path", size: str = "size") -> DataFrame:

@@ -307,8 +307,15 @@ def test_archives(spark, tmp_path, monkeypatch):
     found = archives.files(spark, f"file://{tmp_path}", "*.zip").withColumn("path", F.element_at(F.split("path", "/"), -1))
     got = rows(archives.entries(found).select("archive", "path", F.col("content").cast("string"), F.col("error").isNotNull()), "archive", "path")
     assert got[0][0] == "bad.zip" and got[0][3]
-    assert got[1:4] == [("good.zip", None, "bad", True), ("good.zip", "a/b.txt", "two", False), ("good.zip", "empty", "", False)]
+    assert got[1:4] == [("good.zip", None, None, True), ("good.zip", "a/b.txt", "two", False), ("good.zip", "empty", "", False)]
     assert sum(g[0] == "many.zip" for g in got) == 5
+    read = archives.archive_entries(spark, f"file://{tmp_path}")
+    assert sorted(map(str, read.collect())) == sorted(map(str, archives.entries(found).collect()))
+    monkeypatch.setattr(archives, "BATCH_BYTES", 1)
+    assert archives.archive_entries(spark, str(tmp_path)).count() == read.count() and archives.archive_entries(spark, f"{tmp_path}/none").count() == 0
+    names = ["a\\b/./c", "/x", "c:/x", "a/../b", "", ".", "a\0b", "d//e", "\\x", "é:x", "..", "a/.."]
+    shown = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", archives.entry_path(F.col("n")).alias("p"))
+    assert [p for _, p in rows(shown, "i")] == list(map(archives.normal_path, names))
     listing = spark.createDataFrame([("a/b/c", 1), ("a/d", 2), ("e", 3), ("a/b/f", 4)], "path string, size int")
     assert rows(archives.listing(listing, "a/")) == [("a/b", "directory", None), ("a/d", "file", 2)]
     assert rows(archives.listing(listing, "")) == [("a", "directory", None), ("e", "file", 3)]
