@@ -154,7 +154,7 @@ class ZipReader(DataSourceReader):
 
     def partitions(self) -> list[ArchiveFile]:
         folder = Folder(self.path)
-        found = folder.files.get_file_info(fs.FileSelector(folder.root, recursive=True))
+        found = folder.files.get_file_info(fs.FileSelector(folder.root, recursive=True, allow_not_found=True))
         return [ArchiveFile(f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(".zip")] or [ArchiveFile("", 0)]
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
