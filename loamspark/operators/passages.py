@@ -14,13 +14,16 @@ from ..functions import text as fn
 
 #: Words within a passage that a text must have in a row; characters, for passages without such words.
 RUN, CHARS = 5, 4
+#: So many keys of passages at most are part of a plan.
+LISTED = 1000
 
 
 def contained(texts: DataFrame, passages: DataFrame, text: str, passage: str) -> DataFrame:
     """texts x passages where the text holds the passage, character by character. Empty passages are in none.
 
     The words of a passage but the first and the last stand in the text as they are. So a passage and a text meet on the passage's first inner
-    words (up to RUN), and are then verified; passages without inner words meet on their first characters.
+    words (up to RUN), and are then verified; passages without inner words meet on their first characters. Up to LISTED keys are held against a text's own
+    where it is read, and only what meets becomes a row; more keys meet all runs of all texts by a join.
     """
     inner = F.slice(F.col("_words"), F.lit(2), F.greatest(F.size("_words") - 2, F.lit(0)))
     rows = passages.where(F.length(passage) > 0).withColumn("_words", F.split(fn.trimmed(F.col(passage)), rf"{fn.BLANK}+")).withColumn("_run", F.slice(inner, 1, RUN))
@@ -36,14 +39,18 @@ def contained(texts: DataFrame, passages: DataFrame, text: str, passage: str) ->
     def char_runs(k: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(k))))
 
+    def met_keys(runs: Column, rows: DataFrame) -> Column:
+        keys = [r["_key"] for r in rows.select("_key").distinct().limit(LISTED + 1).collect()]
+        return F.array_intersect(runs, F.array(*map(F.lit, keys))) if len(keys) <= LISTED else F.array_distinct(runs)
+
     out = None
     for k in sizes(worded):
         split = texts.withColumn("_w", F.split(fn.trimmed(F.col(text)), rf"{fn.BLANK}+")).where(F.size("_w") >= k)
-        keyed = split.withColumn("_key", F.explode(F.array_distinct(word_runs(k)))).drop("_w")
+        keyed = split.withColumn("_key", F.explode(met_keys(word_runs(k), worded.where(F.col("_k") == k)))).drop("_w")
         found = keyed.join(worded.where(F.col("_k") == k), "_key").where(F.contains(F.col(text), F.col(passage))).drop("_key", "_k")
         out = found if out is None else out.unionByName(found)
     for k in sizes(short):
-        keyed = texts.where(F.length(text) >= k).withColumn("_key", F.explode(F.array_distinct(char_runs(k))))
+        keyed = texts.where(F.length(text) >= k).withColumn("_key", F.explode(met_keys(char_runs(k), short.where(F.col("_k") == k))))
         found = keyed.join(short.where(F.col("_k") == k), "_key").where(F.contains(F.col(text), F.col(passage))).drop("_key", "_k")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else texts.join(passages, F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import language
 from ..functions import text as fn
 from ..functions.words import MARKERS, SCENE_STOP
-from ..operators import passages
+from ..operators import passages, proposals
 from ..sources import spread, table
 
 QUERIES, SQL = {}, {}
@@ -204,4 +204,11 @@ _SQUEEZED = "array_to_string(list_filter(list_transform(string_split(shown, chr(
 SQL["plain_pages"] = f"{_SHOWN} select page_id, length({_SQUEEZED})::int as n_chars, md5({_SQUEEZED}) as digest from t"
 QUERIES["benchmark_mentions"] = lambda spark, d: passages.contained(documents(spark, d).select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")), "text", "passage").select("doc_id", "item_id")
 SQL["benchmark_mentions"] = "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where length(b.text) > 0"
+QUERIES["document_proposals"] = lambda spark, d: proposals.proposed(documents(spark, d), "doc_id", "text").select("doc", "nth", "subject", F.md5("statement").alias("statement"))
+SQL["document_proposals"] = f"""
+with l as (select doc_id::varchar as doc, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents), t as (select doc, n, {_trim("line")} as x from l),
+s as (select *, last_value(case when starts_with(x, '#') then {_trim("ltrim(x, '#')")} end ignore nulls) over (partition by doc order by n rows between unbounded preceding and current row) as subject from t),
+m as (select doc, subject, x, min(n) as n from s where x <> '' and not starts_with(x, '#') group by all)
+select doc, (row_number() over (partition by doc order by n))::int as nth, subject, md5(x) as statement from m
+union all select doc, 1, max_by(subject, n), null from s group by doc having count(*) filter (x <> '' and not starts_with(x, '#')) = 0"""
 QUERIES["page_chunks"] = lambda spark, d: passages.chunked(table(spark, d, "pages").select("page_id", F.concat(F.lit("Page "), "page_id").alias("title"), fn.html_text(F.col("html")).alias("text")), "page_id", "title", "text", 60)

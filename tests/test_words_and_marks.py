@@ -1,5 +1,8 @@
 """Text functions on literal rows."""
 
+import math
+import random
+import re
 import time
 
 import pytest
@@ -142,12 +145,61 @@ def test_chunks(spark):
     assert [(r["breadcrumb"], r["text"]) for r in got] == [("T", "lead"), *[("T > A", "One two three. One two three.")] * 3, ("T > A > B", "body"), ("T > C >  > D", "w" * 50)]
 
 
-def test_passages(spark):
+def plain_chunks(title, text, tokens):
+    """Sections by a stack of headings, and pieces by trying each unit."""
+    stack, parts, held = {1: title}, [], []
+    for line in [*text.split("\n"), "== end =="]:
+        marks = re.fullmatch(r"(={2,6})\s*(.+?)\s*\1\s*", line)
+        if not marks:
+            held.append(line)
+            continue
+        if "\n".join(held).strip():
+            parts.append((" > ".join(stack.get(i, "") for i in range(1, max(stack) + 1)), "\n".join(held).strip()))
+        held, level = [], len(marks[1])
+        stack = {i: h for i, h in stack.items() if i < level} | {level: marks[2]}
+
+    def fits(t):
+        return math.ceil(len(t.encode("utf-16-le")) / 2 / 4) <= tokens
+
+    def pieces(t, ways):
+        if fits(t) or not ways:
+            return [t]
+        units = [u for u in re.split(ways[0][0], t) if u.strip()]
+        if len(units) < 2:
+            return pieces(t, ways[1:])
+        out = [[]]
+        for u in units:
+            if not fits(u):
+                out += [pieces(u, ways[1:]), []]
+            elif out[-1] and isinstance(out[-1][0], tuple) and fits(ways[0][1].join([*(x for x, in out[-1]), u])):
+                out[-1].append((u,))
+            else:
+                out.append([(u,)])
+        return [p for group in out if group for p in ([ways[0][1].join(x for x, in group)] if isinstance(group[0], tuple) else group)]
+
+    ways = [(r"\n{2,}", "\n\n"), (r"(?<=[.!?])\s+", " "), (r"\s+", " ")]
+    return [(crumb, p.strip()) for crumb, body in parts for p in pieces(body, ways) if p.strip()]
+
+
+def test_chunks_by_a_plain_version(spark):
+    rng = random.Random(4)
+    bits = ["word", "A b c.", "Ends here!", "\n", "\n\n", "\n== H1 ==\n", "\n=== H2 ===\n", "\n==== H3 ====\n", "x" * 50, "😀é", "= no =", "  "]
+    texts = ["".join(rng.choice([" ", ""]) + rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    pages = spark.createDataFrame([(i % 50, f"T{i}", t) for i, t in enumerate(texts)], "id int, title string, text string").repartition(3)
+    for tokens in (3, 11):
+        got = passages.chunked(pages, "id", "title", "text", tokens).collect()
+        want = [(i % 50, n, *c) for i, t in enumerate(texts) for n, c in enumerate(plain_chunks(f"T{i}", t, tokens))]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_passages(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "xx one two  three four five six"), (2, "one two three"), (3, None), (4, "aab")], "id int, text string")
     found = spark.createDataFrame([(1, "e two  thr"), (2, "wo three fo"), (3, "aa"), (4, ""), (5, "one two  three four five s"), (6, "ee fou"), (7, None), (8, "b")], "p int, passage string")
     got = passages.contained(texts, found, "text", "passage").select("id", "p").collect()
     assert sorted(map(tuple, got)) == [(1, 1), (1, 5), (1, 6), (4, 3), (4, 8)]
     assert passages.contained(texts, found.limit(0), "text", "passage").count() == 0
+    monkeypatch.setattr(passages, "LISTED", 1)  # by joins
+    assert sorted(map(tuple, passages.contained(texts, found, "text", "passage").select("id", "p").collect())) == [(1, 1), (1, 5), (1, 6), (4, 3), (4, 8)]
 
 
 def test_hashed_vectors(spark):
