@@ -246,3 +246,40 @@ QUERIES["nested_orders"] = nested_orders
 SQL["nested_orders"] = """
 with o as (select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderdate, o_orderkey) as orders from orders group by 1)
 select c_nationkey, '[' || string_agg('{"c_custkey":' || c_custkey || ',"orders":[' || coalesce(orders, '') || ']}', ',' order by c_custkey) || ']' as customers from customer left join o on o_custkey = c_custkey group by 1"""
+
+
+def accepted(spark, d):
+    """Customers after the proposals that their orders stand for: updates, creates whose slug may be taken, and flags."""
+    known = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("entity"), F.concat(F.lit("c-"), "c_custkey").alias("slug"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("body"))
+    kind = F.get(F.array(F.lit("update"), F.lit("create"), F.lit("flag")), (F.col("o_orderkey") % 3).cast("int"))
+    name = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("N"), "o_orderkey"))
+    found = table(spark, d, "orders").select(F.col("o_orderkey").alias("proposal"), kind.alias("kind"), F.col("o_custkey").cast("string").alias("entity"), F.concat(F.lit("c-"), (F.col("o_custkey") * 2).cast("string")).alias("slug"), name.alias("name"), F.col("o_orderpriority").alias("body"), F.col("o_orderkey").alias("decided"))
+    return op.accepted_revisions(known, found).select("entity", "slug", "name", "body", F.col("revisions").cast("long").alias("revisions"))
+
+
+QUERIES["accepted_proposals"] = accepted
+SQL["accepted_proposals"] = """
+with e as (select c_custkey::varchar as entity, 'c-' || c_custkey as slug, c_name as name, c_mktsegment as body from customer),
+a as (select o_orderkey as p, o_orderkey % 3 as kind, o_custkey::varchar as entity, 'c-' || o_custkey * 2 as slug, case when o_orderkey % 2 = 1 then 'N' || o_orderkey end as name, o_orderpriority as body from orders),
+n as (select coalesce(e.entity, 'new-' || min(p) over (partition by a.slug)) as entity, a.slug, a.name, a.body, p from a left join e on e.slug = a.slug where kind = 1),
+log as (select entity, slug, name, body, -1 as p, 0 as w from e union all select entity, slug, name, body, p, 1 from a where kind = 0 and entity in (select entity from e) union all select *, 1 from n)
+select entity, arg_min(slug, p) as slug, arg_max(name, p) filter (name is not null) as name, arg_max(body, p) filter (body is not null) as body, sum(w)::bigint as revisions from log group by entity"""
+
+
+def publishing(spark, d):
+    """What keeps suppliers' plans from being published: nations are their sessions, some of which are places; every tenth plan is there twice."""
+    s = table(spark, d, "supplier").select(F.concat(F.lit("n-"), "s_nationkey").alias("session"), F.concat(F.lit("c-"), (F.col("s_suppkey") * 20).cast("string")).alias("slug"), "s_suppkey")
+    plan = s.unionByName(s.where("s_suppkey % 10 = 0")).drop("s_suppkey")
+    seen = lambda key: F.when(F.col(key) % 4 == 0, "gm_only").otherwise("players").alias("visibility")
+    entities = table(spark, d, "customer").select(F.concat(F.lit("c-"), "c_custkey").alias("slug"), F.lit("character").alias("type"), F.when(F.col("c_custkey") % 40 == 0, "gm_only").otherwise("players").alias("visibility"))
+    sessions = table(spark, d, "nation").select(F.concat(F.lit("n-"), "n_nationkey").alias("slug"), F.when(F.col("n_nationkey") % 3 == 0, "place").otherwise("session").alias("type"), seen("n_nationkey"))
+    return op.publish_problems(plan, entities.unionByName(sessions))
+
+
+QUERIES["publish_problems"] = publishing
+SQL["publish_problems"] = """
+with s as (select 'n-' || s_nationkey as session, 'c-' || s_suppkey * 20 as slug, s_suppkey from supplier), p as (select session, slug from s union all select session, slug from s where s_suppkey % 10 = 0),
+e as (select 'c-' || c_custkey as slug, 'character' as type, c_custkey % 40 = 0 as hidden from customer union all select 'n-' || n_nationkey, case when n_nationkey % 3 = 0 then 'place' else 'session' end, n_nationkey % 4 = 0 from nation),
+r as (select slug, false as is_session from p union select session, true from p)
+select r.slug, case when e.slug is null then 'missing' when hidden then 'hidden' else 'not a session' end as problem from r left join e on e.slug = r.slug where e.slug is null or hidden or (is_session and type <> 'session')
+union all select slug, 'duplicated' from p group by slug having count(*) > 1"""
