@@ -331,13 +331,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     with settings(spark, {ARROW_ROWS: str(BATCH_ROWS)}):
         every = written(_anchor_rows(texts, length, gram), "anchors", {"compression": "zstd"})
     kinds = every.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-    again = kinds.where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
+    # written before they are joined, so that the join has exchanges of its own and a hot gram's rows can be split
+    again = written(kinds.where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed")), "repeated-grams")
     again = written(every.join(again, "gram"), "repeated-anchors", {"compression": "zstd"})
     mixed = again.where("mixed")
     classes = mixed.groupBy("gram", "segment").agg(F.sum("copies").alias("n"), F.min(F.struct(*KEY, "pos")).alias("first"))
     classes = written(classes.select("gram", "segment", (F.col("n") > 1).alias("whole"), "first.*"), "segment-classes")
     sizes = classes.groupBy("gram").agg(F.count("*").alias("n_classes"), F.min("whole").alias("settled"))
-    sizes = sizes.where("not settled").select("gram", (F.col("n_classes") > group_rows).alias("large"))
+    sizes = written(sizes.where("not settled").select("gram", (F.col("n_classes") > group_rows).alias("large")), "gram-sizes")
     members = written(classes.join(sizes, "gram").drop("segment"), "members")
     parts = [again.where("not mixed and copies < 2"), mixed.where("copies < 2").join(classes.where("whole").select("gram", "segment"), ["gram", "segment"])]
     spans = [p.select(*KEY, "pos", F.lit(length - gram).cast("long").alias("before"), F.lit(length).cast("long").alias("after")) for p in parts]
