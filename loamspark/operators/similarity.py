@@ -39,22 +39,37 @@ def met(queries: DataFrame, points: DataFrame, keys: list[str], use: Callable[..
     Both have vec_id, embedding and a numeric label. They are dealt into blocks by a hash of the id, and only rows with equal keys and as many
     dimensions meet. Vectors that are null or hold null or non-finite numbers take no part; labels that are null come as NaN.
     """
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = [_finite(r, keys) for r in (queries, points)]
 
     def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        rows = rows.where(F.col("vec_id").isNotNull() & finite)
         largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         parts = max(1, -(-largest // size))
-        row = F.struct("vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-        dealt = rows.groupBy(*keys, F.size("embedding").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(f"{name}_part"))
-        held = dealt.agg(F.collect_list(row).alias("r"))
-        return held.select(*keys, "width", f"{name}_part", F.col("r.vec_id").alias(f"{name}_ids"), F.col("r.label").alias(f"{name}_labels"), F.flatten("r.embedding").alias(f"{name}_rows")), parts
+        return _blocks(rows.withColumn(f"{name}_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")), [*keys, "width", f"{name}_part"], name), parts
 
-    asked, _ = blocks(queries, QUERY_BLOCK, "q")
-    stored, parts = blocks(points, POINT_BLOCK, "p")
+    asked, _ = blocks(rows[0], QUERY_BLOCK, "q")
+    stored, parts = blocks(rows[1], POINT_BLOCK, "p")
     asked = asked.withColumn("p_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = asked.join(stored, [*keys, "width", "p_part"]).withColumn("asked", F.xxhash64(*keys, "width", "q_part")).sortWithinPartitions("asked")
-    pairs = pairs.select("asked", "width", *[f"{n}_{c}" for n in "qp" for c in ("ids", "labels", "rows")])
+    pairs = asked.join(stored, [*keys, "width", "p_part"]).withColumn("asked", F.xxhash64(*keys, "width", "q_part"))
+    return _meetings(pairs, use, merge, schema)
+
+
+def _finite(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, vec_id, label, embedding (doubles) and width of the rows that take part."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    values = [F.col("label").cast("double").alias("label")] if "label" not in keys else []
+    out = rows.where(F.col("vec_id").isNotNull() & finite).select(*keys, "vec_id", *values, F.col("embedding").cast("array<double>").alias("embedding"))
+    return out.withColumn("width", F.size("embedding"))
+
+
+def _blocks(rows: DataFrame, of: list[str], name: str, *more: Column) -> DataFrame:
+    """The rows of each combination of ``of`` as arrays: name_ids, name_labels, name_rows (components, one vector after the other)."""
+    held = rows.groupBy(*of).agg(F.collect_list(F.struct("vec_id", F.col("label").cast("double").alias("label"), "embedding")).alias("r"), *more)
+    return held.select(*[c for c in held.columns if c != "r"], F.col("r.vec_id").alias(f"{name}_ids"), F.col("r.label").alias(f"{name}_labels"), F.flatten("r.embedding").alias(f"{name}_rows"))
+
+
+def _meetings(pairs: DataFrame, use: Callable[..., pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """use and merge over pairs of blocks, those with the same ``asked`` in turn."""
+    pairs = pairs.sortWithinPartitions("asked").select("asked", "width", *[f"{n}_{c}" for n in "qp" for c in ("ids", "labels", "rows")])
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int | None, pd.DataFrame | None] = (None, None)
@@ -73,10 +88,45 @@ def met(queries: DataFrame, points: DataFrame, keys: list[str], use: Callable[..
     return pairs.mapInPandas(meet, schema)
 
 
-def best(queries: DataFrame, points: DataFrame, k: int, floor: float, keys: list[str], boost: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+#: Points that others are grouped around, and how many groups a query meets before its bound is known.
+PIVOTS, FIRST = 64, 2
+
+
+def _pivots(points: DataFrame) -> np.ndarray:
+    """Directions to group points around: at most PIVOTS different ones, drawn by a hash of the id from the points of the most frequent width."""
+    width = points.groupBy("width").count().orderBy(F.desc("count"), "width").first()
+    if width is None:
+        return np.zeros((0, 0))
+    drawn = points.where((F.col("width") == width["width"]) & F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding")
+    x = np.array([r["embedding"] for r in drawn.collect()], np.float64).reshape(-1, width["width"])
+    size = np.abs(x).max(1, keepdims=True)
+    x = x / size
+    return np.unique(x / np.sqrt((x * x).sum(1, keepdims=True)), axis=0)
+
+
+def _angles(pivots: np.ndarray) -> Callable[[pd.Series], pd.Series]:
+    """The angles of vectors to each pivot; none for zero vectors and for those of another width, which no bound holds for."""
+
+    def angles(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            top = np.abs(v).max(initial=0.0)
+            if not top or len(v) != pivots.shape[1]:
+                out.append(np.zeros(0))
+                continue
+            v = v / top
+            out.append(np.arccos(np.clip(pivots @ v / np.sqrt((v * v).sum()), -1.0, 1.0)))
+        return pd.Series(out)
+
+    return angles
+
+
+def best(queries: DataFrame, points: DataFrame, k: int, floor: float, keys: list[str], boost: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, most: float = 0.0) -> DataFrame:
     """query_id, vec_id, score, rank: the k best other points of each query at or above a floor; ties to the smaller id.
 
-    boost(query ids, point ids) is added to the cosine. Tasks send on their k best of a query alone.
+    boost(query ids, point ids), at most ``most``, is added to the cosine. Points are grouped around pivots. A query meets the groups of its nearest pivots first; its k-th best
+    score there, or the floor, is what others must reach, and a group whose nearest possible point (by the triangle inequality of angles) does not is not met. Tasks
+    send on their k best of a query alone.
     """
 
     def of_block(q_ids: np.ndarray, _: np.ndarray, p_ids: np.ndarray, __: np.ndarray, score: np.ndarray) -> pd.DataFrame:
@@ -95,9 +145,50 @@ def best(queries: DataFrame, points: DataFrame, k: int, floor: float, keys: list
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
         return found[found.groupby("query_id").cumcount() < k]
 
-    found = met(queries, points, keys, of_block, merge, "query_id long, vec_id long, score double")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", at).where(F.col("rank") <= k)
+    def ranked(found: DataFrame) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", at).where(F.col("rank") <= k)
+
+    asked, stored, groups = grouped(queries, points, keys)
+    reach = asked.drop("embedding", *({"label"} - set(keys))).join(groups, [*keys, "width"]).withColumn("nearest", _nearest())
+    reach = reach.groupBy(*keys, "vec_id", "width", "pivot").agg(F.min("nearest").alias("nearest"))  # rows with one id ask as one
+    order = F.row_number().over(Window.partitionBy(*keys, "vec_id", "width").orderBy("nearest", "pivot"))
+    reach = kept(reach.withColumn("nth", order), "reach")
+
+    def met_groups(pairs: DataFrame) -> DataFrame:
+        rows = asked.drop("angles").join(pairs.select(*keys, "vec_id", "width", "pivot"), [*keys, "vec_id", "width"])
+        parts = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int")
+        blocks = _blocks(rows.withColumn("q_part", parts), [*keys, "width", "pivot", "q_part"], "q")
+        both = blocks.join(stored, [*keys, "width", "pivot"]).withColumn("asked", F.xxhash64(*keys, "width", "pivot", "q_part"))
+        return _meetings(both, of_block, merge, "query_id long, vec_id long, score double")
+
+    first = kept(met_groups(reach.where(F.col("nth") <= FIRST)), "first-groups")
+    last = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    bound = F.greatest(F.coalesce("least", F.lit(floor)), F.lit(floor)) - 1e-9
+    rest = reach.where(F.col("nth") > FIRST).join(last, "vec_id", "left").where(F.cos("nearest") + most >= bound)
+    return ranked(first.unionByName(met_groups(rest)))
+
+
+def _nearest() -> Column:
+    """The least angle that a query and a point of a group can have."""
+    angle = F.try_element_at("angles", F.col("pivot") + 1)
+    return F.when(F.col("pivot") < 0, 0.0).otherwise(F.coalesce(F.greatest(angle - F.col("radius") - 1e-7, F.lit(0.0)), F.lit(0.0)))
+
+
+def grouped(queries: DataFrame, points: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries with their angles to the pivots, points in blocks of one pivot (-1: those no bound holds for), and the groups: keys, width, pivot, radius."""
+    rows = _finite(points, keys)
+    pivots = _pivots(rows)
+    angles = F.pandas_udf(_angles(pivots), "array<double>")
+    placed = rows.withColumn("angles", angles("embedding"))
+    near = F.array_min("angles")
+    pivot = F.when(F.size("angles") > 0, F.array_position("angles", near).cast("int") - 1).otherwise(-1)
+    placed = kept(placed.select(*rows.columns, pivot.alias("pivot"), F.coalesce(near, F.lit(0.0)).alias("angle")), "placed")
+    groups = placed.groupBy(*keys, "width", "pivot").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / F.lit(float(POINT_BLOCK))).cast("int").alias("parts"))
+    groups = kept(groups, "groups")
+    dealt = placed.join(groups.drop("radius"), [*keys, "width", "pivot"]).withColumn("p_part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    asked = _finite(queries, keys)
+    return asked.withColumn("angles", angles("embedding")), _blocks(dealt, [*keys, "width", "pivot", "p_part"], "p"), groups.drop("parts")
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, floor: float, payload: str) -> DataFrame:

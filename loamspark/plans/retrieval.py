@@ -31,7 +31,7 @@ select query_id, vec_id, rank, round(score, 5) as score from (select q.vec_id as
 def boosted(spark, d, asked=EACH_20TH):
     """Cosine plus 0.03 where a keyword (here the parity of the id) is shared, then the floor, then the top 12."""
     vectors = table(spark, d, "embeddings")
-    return op.best(vectors.where(asked), vectors, 12, 0.2, [], lambda q, p: 0.03 * ((p - q) % 2 == 0))
+    return op.best(vectors.where(asked), vectors, 12, 0.2, [], lambda q, p: 0.03 * ((p - q) % 2 == 0), 0.03)
 
 
 def boosted_rounded(spark, d, asked=EACH_20TH):

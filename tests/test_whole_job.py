@@ -1,5 +1,7 @@
 """Where operators once did less than the whole job."""
 
+import math
+
 import numpy as np
 
 from loamspark.operators import similarity
@@ -34,3 +36,31 @@ def test_blocks_of_vectors_meet_once(spark, monkeypatch):
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in near if r["query_id"] < 60} == {
         (q, p, k + 1) for q in range(60) if label[q] is not None for k, p in enumerate(sorted((p for p in range(60) if p != q and label[p] == label[q]), key=lambda p: (-score[q, p], p))[:2])
     }
+
+
+def test_groups_that_cannot_matter_are_not_met(spark):
+    """Clusters, copies, a zero vector, another width, repeated ids: the same rows as all pairs, and most groups of a query skipped."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    x = centres[np.arange(1500) % 20] + 0.1 * rng.normal(size=(1500, 16))
+    x[700:760], x[5] = x[3], 0.0
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(9000, [1.0, 2.0], 0), (9001, [2.0, 1.0], 1), (40, centres[7].tolist(), 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ids, vec = np.array([r[0] for r in rows if len(r[1]) == 16]), np.array([r[1] for r in rows if len(r[1]) == 16])
+    unit = vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)
+    asked = vectors.where("vec_id % 20 = 0")
+    got = similarity.best(asked, vectors, 12, -2.0, []).toPandas()
+    for q in set(ids[ids % 20 == 0]):
+        score = np.round((unit[ids == q] @ unit.T), 12)
+        pairs = sorted({(-s, i, n) for row in score for n, (s, i) in enumerate(zip(row, ids, strict=True)) if i != q}) if (ids == q).sum() == 1 else None
+        mine = got[got.query_id == q].sort_values("rank")
+        if pairs is not None:
+            want = [(i, -s) for s, i, _ in pairs[:12]]
+            assert np.allclose(mine.score, [s for _, s in want], atol=1e-9) and len(mine) == 12
+            assert set(mine.vec_id[mine.score > want[-1][1] + 1e-9]) == {i for i, s in want if s > want[-1][1] + 1e-9}
+    assert sorted(got[got.query_id == 9000].vec_id) == [9001]
+    queries, _, groups = similarity.grouped(asked, vectors, [])
+    near = queries.join(groups, "width").withColumn("nearest", similarity._nearest())
+    least = got.groupby("query_id").score.min().to_dict()
+    rows_ = [(r["vec_id"], math.cos(r["nearest"])) for r in near.select("vec_id", "nearest").collect()]
+    assert sum(c >= least.get(q, -2.0) - 1e-9 for q, c in rows_) < 0.3 * len(rows_)
