@@ -261,3 +261,17 @@ def test_lists_in_blocks_of_members_and_of_bytes(spark, monkeypatch, members, si
         reach = new
     got = op4_jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
     assert [(r["component_id"], r["n_links"]) for r in got] == [(c, len(n)) for c, n in zip(reach, near, strict=True)]
+
+
+def test_empty_tables_and_long_texts(spark):
+    """Empty tables give no rows; a text of a million words is scored and has a picture; other columns are not read."""
+    from loamspark.llm import op1_licences, op6_pitman_yor
+
+    docs = spark.createDataFrame([(1, "short one", True, 7.0, "mine"), (2, "word " * 1_000_000, False, 8.0, "mine"), (3, None, True, 9.0, "mine")], "doc_id long, text string, train boolean, score double, media string")
+    assert op1_licences.scan_documents(docs.limit(0), op1_licences.known_digests(spark)).collect() == []
+    assert op7_media.described(op7_media.store(docs.limit(0))).collect() == []
+    assert op6_pitman_yor.score_documents(docs.limit(0)).collect() == []
+    scores = {r["doc_id"]: r for r in op6_pitman_yor.score_documents(docs).collect()}
+    assert scores[2]["n_tokens"] == 1_000_001 and scores[2]["score"] < 0 and scores[3]["n_tokens"] == 1
+    media = {r["doc_id"]: r for r in op7_media.described(op7_media.store(docs)).collect()}
+    assert media[2]["n_bytes"] == 5_000_000 and media[3]["payload_bytes"] == 576
