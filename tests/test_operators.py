@@ -1,6 +1,7 @@
 """Literal rows with nulls, ties and empty tables."""
 
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -152,3 +153,11 @@ def test_keys(spark):
 def test_top_words_break_ties_by_place(spark):
     docs = spark.createDataFrame([(1, "zeta beta beta that zeta cat gamma"), (2, None), (3, "")], "id int, text string")
     assert [(r["id"], r["keywords"]) for r in fn.top_words(docs, "id", "text", 2).collect()] == [(1, "zeta beta")]
+
+
+def test_fingerprints_of_nulls(spark):
+    """A null id counts as an empty one, ids are sorted, versions follow."""
+    ids = F.array(F.lit("b"), F.lit(None).cast("string"), F.lit("a"))
+    got = spark.range(1).select(keys.fingerprint(ids, "v1", "m").alias("some"), keys.fingerprint(F.array().cast("array<string>"), "v1").alias("none")).first()
+    assert got["some"] == hashlib.sha256("\x01".join(["", "a", "b", "v1", "m"]).encode()).hexdigest()
+    assert got["none"] == hashlib.sha256(b"v1").hexdigest()
