@@ -105,16 +105,54 @@ def merged_params(old: Column, new: Column, owned: list[str]) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(foreign, mine)))))
 
 
-EVIDENCE = "array<struct<kind:string,similarity:double,path:array<string>,sentence:string>>"
+# What supports a proposal that an edit led to; the first two are links of the canon.
+EVIDENCE_KINDS = ["relation", "mention", "embedding", "instruction"]
+
+
+def evidence_views(trigger: Column, evidence: Column) -> Column:
+    """(views, caveat) of a proposal's evidence, a JSON text.
+
+    A view is (quote, kind, path, hops, direction, matched, source, count), with what its kind has and nulls else. An edit's evidence is a list
+    of what supports it; entries that are none of EVIDENCE_KINDS are left out. An import's is an object with a sourceRef: one view without a
+    quote, by whether a match was ambiguous ('importAmbiguous', of so many others), likely ('importMatched') or not needed ('importExtracted').
+    The caveat is 'embeddingOnly' or 'instructionOnly' where nothing stronger supports the proposal; it is null where a relation or mention
+    does, or an import was extracted. Nulls, broken JSON and other shapes have no views and no caveat.
+    """
+    given = F.try_parse_json(evidence)
+    of = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    type_of = lambda path: F.schema_of_variant(of(given, path, "variant"))
+    empty = {"quote": "string", "kind": "string", "path": "array<string>", "hops": "int", "direction": "string", "matched": "string", "source": "string", "count": "int"}
+
+    def view(**has: Column) -> Column:
+        return F.struct(*[has.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in empty.items()])
+
+    def linked_view(e: Column) -> Column:
+        kind, sentence = of(e, "$.kind", "string"), of(e, "$.sourceSentence", "string")
+        relation = view(kind=kind, path=of(e, "$.path", "array<string>"), hops=of(e, "$.hops", "int"))
+        mention = view(quote=sentence, kind=kind, direction=of(e, "$.direction", "string"), matched=of(e, "$.matchedText", "string"))
+        other = view(quote=F.when(kind == "instruction", of(e, "$.instruction", "string")).otherwise(sentence), kind=kind)
+        return F.when(kind == "relation", relation).when(kind == "mention", mention).otherwise(other)
+
+    entries = F.filter(of(given, "$", "array<variant>"), lambda e: of(e, "$.kind", "string").isin(EVIDENCE_KINDS))
+    views = F.coalesce(F.transform(entries, linked_view), F.array().cast(f"array<struct<{', '.join(f'{n}: {k}' for n, k in empty.items())}>>"))
+    said = F.transform(views, lambda v: v["kind"])
+    told = F.when(F.array_contains(said, "instruction"), "instructionOnly").otherwise("embeddingOnly")
+    linked = F.array_contains(said, "relation") | F.array_contains(said, "mention")
+    edited = F.struct(views.alias("views"), F.when((F.size(said) > 0) & ~linked, told).alias("caveat"))
+
+    source = F.when(type_of("$.sourceRef.path") == "STRING", of(given, "$.sourceRef.path", "string"))
+    likely = F.coalesce(type_of("$.similarity").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    others = F.coalesce(F.size(of(given, "$.ambiguousCandidateIds", "array<variant>")), F.lit(0))
+    kind = F.when(likely & (others > 0), "importAmbiguous").when(likely, "importMatched").otherwise("importExtracted")
+    found = view(kind=kind, source=source, count=F.when(likely & (others > 0), others))
+    is_import = F.coalesce(F.array_contains(F.json_object_keys(evidence), "sourceRef"), F.lit(False))
+    imported = F.struct(F.when(is_import, F.array(found)).otherwise(F.slice(views, 1, 0)).alias("views"), F.when(is_import & likely, "embeddingOnly").alias("caveat"))
+    return F.when(trigger == "import", imported).otherwise(edited)
 
 
 def evidence_caveat(trigger: Column, evidence: Column) -> Column:
-    """'embeddingOnly' or 'instructionOnly' where no relation and no mention supports a proposal, null where one does or there is no evidence."""
-    kinds = F.transform(F.from_json(evidence, EVIDENCE), lambda e: e["kind"])
-    known = F.filter(kinds, lambda k: k.isin("relation", "mention", "embedding", "instruction"))
-    linked = F.exists(known, lambda k: k.isin("relation", "mention"))
-    told = F.when(F.array_contains(known, "instruction"), "instructionOnly").otherwise("embeddingOnly")
-    return F.when((trigger == "import") | (F.coalesce(F.size(known), F.lit(0)) <= 0) | linked, None).otherwise(told)
+    """The caveat of evidence_views."""
+    return evidence_views(trigger, evidence)["caveat"]
 
 
 def job_estimate(documents: Column, seconds: Column, credits: Column, factor: int = 6) -> Column:

@@ -194,6 +194,42 @@ SQL["evidence_caveats"] = f"""
 with {_E} select event_id, case when k % 13 = 0 or k % 17 = 0 or k % 7 = 0 then null when k % 5 = 0 then 'instructionOnly' when k % 2 = 0 then 'embeddingOnly' end as caveat from e"""
 
 
+
+def evidence_rows(spark, d):
+    """A row for each view of an event's evidence, or one where it has none. Every thirteenth event stands for an import, the others for edits."""
+    k, word = F.col("k"), F.col("event_type")
+    entries = [
+        F.when(k % 2 == 0, F.concat(F.lit('{"kind":"embedding","similarity":0.5,"sourceSentence":"Like '), word, F.lit('."}'))),
+        F.when(k % 5 == 0, F.concat(F.lit('{"kind":"instruction","instruction":"Do '), k, F.lit('"}'))),
+        F.when(k % 7 == 0, F.concat(F.lit('{"kind":"mention","direction":"'), F.when(k % 4 == 0, "reverse").otherwise("forward"), F.lit('","matchedText":"'), word, F.lit('","sourceSentence":"Saw '), word, F.lit('."}'))),
+        F.when(k % 3 == 0, F.concat(F.lit('{"kind":"relation","hops":'), k % 4, F.lit(',"path":["'), word, F.lit('","u'), F.col("user_id"), F.lit('"]}'))),
+        F.when(k % 11 == 0, F.lit('{"kind":"rumour","path":["x"]}')),
+        F.when(k % 19 == 0, F.lit("7")),
+    ]
+    edited = F.concat(F.lit("["), F.concat_ws(",", *entries), F.lit("]"))
+    path = F.when(k % 2 == 0, F.concat(F.lit('"a/'), k, F.lit('.md"'))).otherwise(k.cast("string"))
+    similar = F.when(k % 3 == 0, F.concat(F.lit(',"similarity":0.'), k % 9)).when(k % 3 == 1, ',"similarity":"0.5"').otherwise("")
+    others = F.concat(F.lit(',"ambiguousCandidateIds":['), F.when(k % 4 > 0, F.array_join(F.sequence(F.lit(1), k % 4), ",")).otherwise(""), F.lit("]"))
+    imported = F.concat(F.lit('{"sourceRef":{"path":'), path, F.lit("}"), similar, others, F.lit("}"))
+    is_import = k % 13 == 0
+    seen = events(spark, d).select("event_id", fn.evidence_views(F.when(is_import, "import").otherwise("edit"), F.when(k % 17 == 0, "{").when(is_import, imported).otherwise(edited)).alias("e"))
+    rows = seen.select("event_id", F.col("e.caveat").alias("caveat"), F.posexplode_outer("e.views").alias("nth", "v"))
+    return rows.select("event_id", "caveat", "nth", "v.quote", "v.kind", F.array_join("v.path", "/").alias("path"), "v.hops", "v.direction", "v.matched", "v.source", F.col("v.count").alias("others"))
+
+
+QUERIES["evidence_views"] = evidence_rows
+SQL["evidence_views"] = f"""
+with {_E}, v as (
+  select event_id, 1 as o, 'Like ' || event_type || '.' as quote, 'embedding' as kind, null as path, null as hops, null as direction, null as matched, null as source, null as others from e where k % 2 = 0 and k % 13 > 0
+  union all select event_id, 2, 'Do ' || k, 'instruction', null, null, null, null, null, null from e where k % 5 = 0 and k % 13 > 0
+  union all select event_id, 3, 'Saw ' || event_type || '.', 'mention', null, null, case when k % 4 = 0 then 'reverse' else 'forward' end, event_type, null, null from e where k % 7 = 0 and k % 13 > 0
+  union all select event_id, 4, null, 'relation', event_type || '/u' || user_id, k % 4, null, null, null, null from e where k % 3 = 0 and k % 13 > 0
+  union all select event_id, 5, null, case when k % 3 > 0 then 'importExtracted' when k % 4 > 0 then 'importAmbiguous' else 'importMatched' end, null, null, null, null, case when k % 2 = 0 then 'a/' || k || '.md' end, case when k % 3 = 0 and k % 4 > 0 then k % 4 end from e where k % 13 = 0)
+select e.event_id, case when k % 13 = 0 then case when k % 3 = 0 and k % 17 > 0 then 'embeddingOnly' end when k % 17 = 0 or k % 7 = 0 or k % 3 = 0 then null when k % 5 = 0 then 'instructionOnly' when k % 2 = 0 then 'embeddingOnly' end as caveat,
+  case when v.event_id is not null then row_number() over (partition by e.event_id order by o) - 1 end::int as nth, quote, kind, path, hops::int as hops, direction, matched, source, others::int as others
+from e left join v on v.event_id = e.event_id and k % 17 > 0"""
+
+
 def estimates(spark, d):
     by = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("k").alias("k"))
     e = fn.job_estimate(F.col("n"), F.col("k") / 10, F.col("k") / 100)

@@ -254,3 +254,30 @@ def test_long_runs_of_blanks(spark):
         text.select(F.md5(f(F.col("t")).cast("string"))).collect()
         assert time.time() - began < 20
     assert value(spark, fn.trimmed(F.lit("\ufeff\u2003\u00a0a\u3000 b\x0b\u2029"))) == "a\u3000 b"
+
+
+def test_evidence_views(spark):
+    """Literal rows: what each kind of evidence shows, entries of other shapes, and imports."""
+    import json
+
+    mention = {"kind": "mention", "direction": "reverse", "matchedText": "Ash", "sourceSentence": "Ash waits."}
+    cases = [
+        ("edit", [{"kind": "relation", "hops": 2, "path": ["a", "b"]}, mention], [(None, "relation", ["a", "b"], 2, None, None, None, None), ("Ash waits.", "mention", None, None, "reverse", "Ash", None, None)], None),
+        ("edit", [{"kind": "embedding", "similarity": 0.8, "sourceSentence": "Near."}, 7, "mention", None, {"kind": "rumour"}], [("Near.", "embedding", None, None, None, None, None, None)], "embeddingOnly"),
+        ("ask", [{"kind": "instruction", "instruction": "Draw a \"map\""}, {"kind": "embedding", "sourceSentence": "Near."}], [('Draw a "map"', "instruction", None, None, None, None, None, None), ("Near.", "embedding", None, None, None, None, None, None)], "instructionOnly"),
+        ("edit", [], [], None),
+        ("edit", mention, [], None),
+        ("import", {"sourceRef": {"path": "a.md"}, "similarity": 0.9, "ambiguousCandidateIds": ["x", "y"]}, [(None, "importAmbiguous", None, None, None, None, "a.md", 2)], "embeddingOnly"),
+        ("import", {"sourceRef": {"path": "a.md"}, "similarity": 1, "ambiguousCandidateIds": []}, [(None, "importMatched", None, None, None, None, "a.md", None)], "embeddingOnly"),
+        ("import", {"sourceRef": {"path": 5}, "ambiguousCandidateIds": ["x"]}, [(None, "importExtracted", None, None, None, None, None, None)], None),
+        ("import", {"sourceRef": None, "similarity": "0.9"}, [(None, "importExtracted", None, None, None, None, None, None)], None),
+        ("import", {"similarity": 0.9}, [], None),
+        ("import", [mention], [], None),
+    ]
+    rows = [(i, t, json.dumps(e)) for i, (t, e, _, _) in enumerate(cases)] + [(100, "edit", None), (101, "edit", "{"), (102, "import", None), (103, None, json.dumps([mention]))]
+    got = spark.createDataFrame(rows, "id int, trigger string, evidence string").select("id", predicates.evidence_views(F.col("trigger"), F.col("evidence")).alias("e")).collect()
+    found = {r["id"]: ([tuple(v) for v in r["e"]["views"]], r["e"]["caveat"]) for r in got}
+    for i, (_, _, views, caveat) in enumerate(cases):
+        assert found[i] == (views, caveat), i
+    assert [found[i] for i in (100, 101, 102)] == [([], None)] * 3
+    assert found[103] == ([("Ash waits.", "mention", None, None, "reverse", "Ash", None, None)], None)
