@@ -281,3 +281,20 @@ def test_evidence_views(spark):
         assert found[i] == (views, caveat), i
     assert [found[i] for i in (100, 101, 102)] == [([], None)] * 3
     assert found[103] == ([("Ash waits.", "mention", None, None, "reverse", "Ash", None, None)], None)
+
+
+def test_decompositions(spark):
+    """Every character, and texts of several, against the standard library's compatibility decomposition."""
+    import unicodedata
+
+    def plain(text):
+        return re.sub("[\\^`\u00b7\u02b0-\u02ff]", "", "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")).lower()
+
+    words = ["ﬁn ﬄé Ǆ", "한국어 각 가 힣", "𝐀𝒷 ½ ㎏ ™ ﷺ", "İstanbul", "", "plain", "𠀀 \n ﬁ\r\n"]
+    odd = [chr(c) for c in range(0xA0, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+    texts = words + ["x".join(odd[i : i + 40]) for i in range(0, len(odd), 40)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.unaccented(F.col("t"))).collect()
+    wrong = [(texts[i], t, plain(texts[i])) for i, t in got if t != plain(texts[i])]
+    assert wrong == []
+    assert value(spark, fn.slug(F.lit("ﬁne Eﬀect 𝟙"))) == "fine-effect-1"
+    assert value(spark, fn.match_form(F.lit("각"))) == value(spark, fn.match_form(F.lit(unicodedata.normalize("NFD", "각"))))
