@@ -47,12 +47,13 @@ select label, count(*) as n, sum(id)::bigint as ids from u where (label, id) not
 
 
 def reindexed(spark, d):
-    """Pages whose stamp changed get new chunks; others keep theirs. Running it again changes nothing."""
-    pages = table(spark, d, "pages").select("url", F.length("html").alias("page_updated_at"))
-    old = pages.withColumn("page_updated_at", F.col("page_updated_at") - F.when(F.col("page_updated_at") % 3 == 0, 1).otherwise(0)).select("url", "page_updated_at", F.lit("old").alias("chunk"))
-    chunks = pages.select("url", "page_updated_at", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("chunk"))
-    once = vectors.reindexed(old, pages, chunks)
-    return vectors.reindexed(once, pages, chunks).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("page_updated_at").cast("long").alias("stamps"))
+    """Pages whose stamp changed get new chunks; others keep theirs, also beside others of their address. Running it again changes nothing."""
+    page = ["page_id", "url"]
+    pages = table(spark, d, "pages").select(*page, F.length("html").alias("page_updated_at"))
+    old = pages.withColumn("page_updated_at", F.col("page_updated_at") - F.when(F.col("page_updated_at") % 3 == 0, 1).otherwise(0)).select(*page, "page_updated_at", F.lit("old").alias("chunk"))
+    chunks = pages.select(*page, "page_updated_at", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("chunk"))
+    once = vectors.reindexed(old, pages, chunks, tuple(page))
+    return vectors.reindexed(once, pages, chunks, tuple(page)).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("page_updated_at").cast("long").alias("stamps"))
 
 
 QUERIES["reindexed_pages"] = reindexed

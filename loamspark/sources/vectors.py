@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,11 +56,17 @@ def ready(points: DataFrame | None, empty: DataFrame, size: int, metric: str = "
 def reindexed(points: DataFrame, pages: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("url",), stamp: str = "page_updated_at") -> DataFrame:
     """The points after pages are indexed: pages whose stamp the stored points have already are skipped, the others' points are replaced by their chunks.
 
-    Running it twice changes nothing. pages has keys and stamp, chunks has the columns of points.
+    Running it twice changes nothing. pages has keys and stamp, chunks has the columns of points. Nulls are values like others.
     """
     held = points.select(*keys, stamp).distinct()
-    todo = pages.select(*keys, stamp).distinct().join(held, [*keys, stamp], "left_anti").select(*keys).distinct()
-    return points.join(todo, list(keys), "left_anti").unionByName(chunks.join(todo, list(keys), "left_semi").select(points.columns))
+    todo = _met(pages.select(*keys, stamp).distinct(), held, [*keys, stamp], "left_anti").select(*keys).distinct()
+    return _met(points, todo, keys, "left_anti").unionByName(_met(chunks, todo, keys, "left_semi").select(points.columns))
+
+
+def _met(rows: DataFrame, others: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """rows that others have (left_semi) or do not have (left_anti); a null is a value like others."""
+    other = others.select(*[F.col(c).alias(f"_{c}") for c in on])
+    return rows.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]), how)
 
 
 def unfinished(documents: DataFrame, settled: DataFrame, key: str) -> DataFrame:
