@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import browse
-from ..sources import archives, connectors, table, vectors
+from ..sources import archives, connectors, small_batches, spread, table, vectors
 from .predicates import _E, events
 
 QUERIES, SQL = {}, {}
@@ -150,7 +150,7 @@ select '/world/' || case when doc_id % 3 = 0 then 'Places' else 'people' end ||
 
 def round_trip(spark, d):
     """Customers as exported markdown, read back."""
-    rows = table(spark, d, "customer").select(
+    rows = spread(table(spark, d, "customer").select("c_name", "c_mktsegment")).select(
         F.col("c_name").alias("name"), F.lit("character").alias("type"), F.array("c_mktsegment", F.lit('say "x"')).alias("aliases"), fn.slug(F.col("c_name")).alias("slug"), F.lit("players").alias("visibility"), F.lit("2026-01-01T00:00:00.000Z").alias("created_at"), F.lit(None).cast("string").alias("updated_at"), F.concat(F.lit("Body\n---\n\nof "), "c_name").alias("body")
     )
     return connectors.parsed_markdown(connectors.entry_markdown(rows)).select("slug", "name", F.array_join("aliases", "|").alias("aliases"), "updated_at", "body", "error")
