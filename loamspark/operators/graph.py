@@ -26,16 +26,16 @@ def ring(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """node, depth, relation, via, label: the nodes within ``depth`` steps of the start nodes (themselves left out), how near they are, and the edge and node that they are reached by first.
 
     Of equally near ways the one with the least relation, then the least node, stays; label reads from via to node. edges has relation, source, target, label, inverse. A
-    step joins the frontier alone, one row for each new node, so a walk never revisits.
+    step joins the frontier alone, one row for each new node, so a walk never revisits; it is written before the next, so each step reads the edges once.
     """
     links = both_ways(edges)
     way = {"relation": edges.schema["relation"].dataType, "via": edges.schema["source"].dataType, "label": edges.schema["label"].dataType}
-    frontier = start.select("node").distinct().select("node", F.lit(0).alias("depth"), *[F.lit(None).cast(t).alias(n) for n, t in way.items()])
+    frontier = kept(start.select("node").distinct().select("node", F.lit(0).alias("depth"), *[F.lit(None).cast(t).alias(n) for n, t in way.items()]), "ring")
     seen = frontier
     for d in range(1, depth + 1):
         step = frontier.select(F.col("node").alias("via")).join(links.withColumnRenamed("node", "via"), "via").join(seen.select(F.col("node").alias("to")), "to", "left_anti")
         least = step.groupBy("to").agg(F.min(F.struct("relation", "via", "label")).alias("way"))
-        frontier = least.select(F.col("to").alias("node"), F.lit(d).alias("depth"), "way.*")
+        frontier = kept(least.select(F.col("to").alias("node"), F.lit(d).alias("depth"), "way.*"), "ring")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
