@@ -24,7 +24,7 @@ class MarkdownExport(DataSource):
     """A sink for rows (slug, text): path/<slug>.md with the text as it is, and path/README.md with the number of files.
 
     Tasks write into a folder beside path, which gets path's name when all of them are done and the README is there: a rename. Where a task fails for
-    good, or two rows have one slug, that folder goes and path is as before. A task that is run again writes the same files again. Options: path (a URI that driver
+    good, or two rows have one slug, that folder goes and path is as before; no task makes it, so those still running then write nothing more. A task that is run again writes the same files again. Options: path (a URI that driver
     and executors reach), name and date for the README. Mode append needs a path that is not there, overwrite replaces it.
     """
 
@@ -45,6 +45,8 @@ class MarkdownWriter(DataSourceWriter):
         self.staging = f"{self.path}.{uuid.uuid4().hex}"
         if not overwrite and self._there():
             raise ValueError(f"{self.path} is there already")
+        folder = Folder(self.staging)
+        folder.files.create_dir(folder.root, recursive=True)
 
     def _there(self) -> bool:
         folder = Folder(self.path)
@@ -56,7 +58,7 @@ class MarkdownWriter(DataSourceWriter):
             slug, text = row["slug"], row["text"]
             if not slug or "/" in slug or slug.startswith(".") or slug == "README":
                 raise ValueError(f"{slug!r} is no name of a file")
-            folder.write((text or "").encode(), f"{slug}.md")
+            folder.put((text or "").encode(), f"{slug}.md")
             n += 1
         return Written(n)
 
@@ -68,7 +70,7 @@ class MarkdownWriter(DataSourceWriter):
             raise ValueError(f"{n} rows have {files} slugs")
         title = f"# {self.options.get('name', 'Export')}"
         day = f", {self.options['date']}" if "date" in self.options else ""
-        folder.write(f"{title}\n\nEntries: {n}{day}. Each is a file named after its slug: a front of JSON values, an empty line, and its text.\n".encode(), "README.md")
+        folder.put(f"{title}\n\nEntries: {n}{day}. Each is a file named after its slug: a front of JSON values, an empty line, and its text.\n".encode(), "README.md")
         if self.overwrite and self._there():
             folder.files.delete_dir(Folder(self.path).root)
         folder.files.move(folder.root, Folder(self.path).root)
@@ -76,7 +78,9 @@ class MarkdownWriter(DataSourceWriter):
     def abort(self, messages: list[Written | None]) -> None:
         folder = Folder(self.staging)
         if folder.files.get_file_info(folder.root).type != fs.FileType.NotFound:
-            folder.files.delete_dir(folder.root)
+            gone = f"{folder.root}.gone"  # renamed first: tasks that still run cannot add to it while it is deleted
+            folder.files.move(folder.root, gone)
+            folder.files.delete_dir(gone)
 
 
 def export(entries: DataFrame, path: str, name: str = "Export", date: str | None = None, mode: str = "append") -> None:

@@ -40,8 +40,12 @@ class Folder:
 
     def write(self, data: bytes, *parts: str) -> None:
         """Nobody sees half a file: it gets its name when it is whole."""
+        self.files.create_dir(posixpath.dirname(self.at(*parts)), recursive=True)
+        self.put(data, *parts)
+
+    def put(self, data: bytes, *parts: str) -> None:
+        """As write, into a folder that is there."""
         path = self.at(*parts)
-        self.files.create_dir(posixpath.dirname(path), recursive=True)
         hidden = posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}")
         with self.files.open_output_stream(hidden) as f:
             f.write(data)

@@ -105,6 +105,22 @@ def test_failed_export_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_export_task_that_outlives_the_failure(tmp_path):
+    """Spark does not wait for tasks that it stops; one that still runs after the abort leaves nothing either."""
+    writer = exports.MarkdownWriter({"path": f"file://{tmp_path}/out"}, False)
+
+    def late():
+        yield {"slug": "a", "text": "x"}
+        writer.abort([])
+        yield {"slug": "b", "text": "x"}
+
+    with pytest.raises(FileNotFoundError):
+        writer.write(late())
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([{"slug": "c", "text": "x"}]))
+    assert os.listdir(tmp_path) == []
+
+
 def test_proposals(spark):
     docs = spark.createDataFrame([("a", "intro\n# Rat \n\n old \nold\n# Cat\nold"), ("b", None), ("c", "## Only")], "id string, text string")
     got = proposals.proposed(docs, "id", "text")
