@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -80,7 +81,13 @@ class MarkdownWriter(DataSourceWriter):
         if folder.files.get_file_info(folder.root).type != fs.FileType.NotFound:
             gone = f"{folder.root}.gone"  # renamed first: tasks that still run cannot add to it while it is deleted
             folder.files.move(folder.root, gone)
-            folder.files.delete_dir(gone)
+            for left in reversed(range(20)):
+                try:
+                    return folder.files.delete_dir(gone)
+                except OSError:  # a file that was being opened during the rename came in: one a task at most
+                    if not left:
+                        raise
+                    time.sleep(0.05)
 
 
 def export(entries: DataFrame, path: str, name: str = "Export", date: str | None = None, mode: str = "append") -> None:
