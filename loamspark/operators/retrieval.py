@@ -61,12 +61,17 @@ def quality(hits: DataFrame, gold: DataFrame, top_k: int, threshold: float, ks:
     hits has query_id, vec_id, score; gold has query_id, vec_id of what is relevant (null for a query without any, whose recall is 1). Recall is
     counted over what passes the threshold, also beyond top_k; the reciprocal rank and the irrelevant within top_k.
     """
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = hits.where(F.col("score") >= threshold).withColumn("rank", place)
-    relevant = gold.where("vec_id is not null").select("query_id", "vec_id", F.lit(1).alias("good")).distinct()
+    relevant = gold.where("vec_id is not null").select("query_id", "vec_id", F.lit(True).alias("good")).distinct()
     sizes = gold.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n"))
-    found = ranked.join(relevant, ["query_id", "vec_id"], "left")
-    good = F.col("good").isNotNull()
+    passed = hits.where(F.col("score") >= threshold).select("query_id", "vec_id", "score")
+    return judged(passed.join(relevant, ["query_id", "vec_id"], "left").fillna({"good": False}), sizes, top_k, threshold, ks)
+
+
+def judged(hits: DataFrame, sizes: DataFrame, top_k: int, threshold: float, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """``quality`` of hits (query_id, vec_id, score) that say whether they are good (null: neither that nor irrelevant); sizes has query_id and n, how many good ones there are. What is relevant need not be listed."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = hits.where(F.col("score") >= threshold).withColumn("rank", place)
+    good = F.col("good")
     sums = found.groupBy("query_id").agg(
         F.max(F.when(good & (F.col("rank") <= top_k), 1 / F.col("rank"))).alias("rr"),
         *[F.count_if(good & (F.col("rank") <= k)).alias(f"at_{k}") for k in (*ks, top_k)],
@@ -79,6 +84,20 @@ def quality(hits: DataFrame, gold: DataFrame, top_k: int, threshold: float, ks:
     return out.select("query_id", F.round(zero("rr"), 6).alias("reciprocal_rank"), *[F.round(recall(k), 6).alias(f"recall_at_{k}") for k in (*ks, top_k)], zero("survivors").alias("survivors"), zero("irrelevant").alias("irrelevant"))
 
 
+def labelled(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """hits with good (the query's label; null for a hit without one), and query_id, n: how many others have that label. Both tables have vec_id and label; queries without any are left out.
+
+    Labels are counted and looked up for the hits alone: pairs of a query and all that has its label are as many as a share of all pairs.
+    """
+    of = chunks.groupBy("vec_id").agg(F.collect_set("label").alias("_of"))
+    asked = questions.groupBy(F.col("vec_id").alias("query_id")).agg(F.collect_set("label").alias("_asked"))
+    good = hits.join(asked, "query_id").join(of, "vec_id").withColumn("good", F.when(F.size("_of") > 0, F.arrays_overlap("_asked", "_of"))).drop("_asked", "_of")
+    every = chunks.where("vec_id is not null").groupBy("label").agg(F.count("*").alias("_every"))
+    own = chunks.groupBy("label", "vec_id").agg(F.count("*").alias("_own"))
+    sizes = questions.select("vec_id", "label").join(every, "label").join(own, ["label", "vec_id"], "left")
+    return good, sizes.groupBy(F.col("vec_id").alias("query_id")).agg(F.sum(F.col("_every") - F.coalesce("_own", F.lit(0))).alias("n")).where("n > 0")
+
+
 def means(scores: DataFrame) -> DataFrame:
     """The means of quality's columns over all queries."""
     return scores.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in scores.columns if c != "query_id"])
