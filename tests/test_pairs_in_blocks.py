@@ -52,3 +52,7 @@ def test_no_edges_and_no_mentions(spark):
 
 def test_rejections_are_weighed_where_pairs_are_made(spark):
     assert "Exchange" not in above_pairs(registry.QUERIES["reject_penalties"](spark, FOLDER))
+
+
+def test_candidates_are_summed_where_pairs_are_made(spark):
+    assert "Exchange" not in above_pairs(registry.QUERIES["candidate_scores"](spark, FOLDER))
