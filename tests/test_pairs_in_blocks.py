@@ -56,3 +56,7 @@ def test_rejections_are_weighed_where_pairs_are_made(spark):
 
 def test_candidates_are_summed_where_pairs_are_made(spark):
     assert "Exchange" not in above_pairs(registry.QUERIES["candidate_scores"](spark, FOLDER))
+
+
+def test_ways_are_not_sent_around_by_start_and_node(spark):
+    assert "Exchange" not in above_pairs(registry.QUERIES["graph_paths"](spark, FOLDER))
